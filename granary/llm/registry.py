@@ -1,7 +1,7 @@
 """The queries of this subpackage, for __spark_entry__.py."""
 
-from . import mixing, packing, quality, secret_scan, url_filter
+from . import mixing, ngram_join, packing, quality, secret_scan, url_filter
 
-MODULES = (secret_scan, mixing, quality, packing, url_filter)
+MODULES = (secret_scan, mixing, quality, packing, ngram_join, url_filter)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
