@@ -5,7 +5,7 @@ frequent shingles last, else by number. Two sets that link share a number among
 n - ceil(t * n) + 1 (the prefix), so only prefixes are compared at first.
 
 1. Documents are partitioned into groups of similar ones: each set is verified against one leader, the set
-   it shares most prefix numbers with by way of the first set of each number. What links makes groups.
+   it shares most prefix numbers with by way of one set for each number. What links makes groups; a few turns.
 2. The matrix (number, group) holds the union of each group's prefixes, a block of at most BLOCK sets at a
    time. Every set counts the columns it hits in groups other than its own, which bounds its overlap with
    any of their members.
@@ -36,22 +36,14 @@ from .common import components, texts, written
 #: The contract's measure: shingles of N words; a link when DEN * intersection >= NUM * union.
 N, NUM, DEN = 4, 85, 100
 #: A shingle is frequent if it makes more than 1 / HEAVY of all, and LEAST at least: a bound for what is broadcast.
-HEAVY, LEAST = 1 << 20, 16
-#: Sets in a block of a group.
-BLOCK = 64
+HEAVY, LEAST = 1 << 21, 16
+#: Sets in a block of a group; how often sets look for a leader before groups are opened (any number gives the same links).
+BLOCK, TURNS = 64, 3
 
 
-class _Words(dict):
-    """word -> 64-bit hash, remembered; emptied when large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 20:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = _Words()
+#: ASCII white space, as a table of bytes; the base of the words' polynomial hash.
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BASE = 0x9E3779B97F4A7C15
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -61,12 +53,18 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def shingles(text: str, n: int = N) -> np.ndarray:
     """Sorted distinct 62-bit numbers of the text's word shingles; bytes split at ASCII white space only."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
+    letter = ~_SPACE[data]
+    starts = np.flatnonzero(letter & np.append(True, ~letter[:-1])) if len(data) else data
+    if not len(starts):
         return np.empty(0, np.int64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    k = min(n, len(words))
-    count = len(words) - k + 1
+    sizes = np.diff(np.append(starts, len(data)))
+    powers = np.multiply.accumulate(np.full(int(sizes.max()), _BASE, np.uint64))
+    place = np.arange(starts[0], len(data)) - np.repeat(starts, sizes)
+    h = np.add.reduceat((data[starts[0] :].astype(np.uint64) + np.uint64(1)) * letter[starts[0] :] * powers[place], starts - starts[0])
+    h = _mixed(h)
+    k = min(n, len(h))
+    count = len(h) - k + 1
     out = h[:count]
     for j in range(1, k):
         out = _mixed(out) + h[j : count + j]
@@ -187,12 +185,20 @@ class Join:
         each = sets.select("s", "n", F.explode("prefix").alias("w")).repartition("w")
         shared = written(each.withColumn("of", F.count("*").over(Window.partitionBy("w"))).where("of > 1").drop("of"), "shared")
 
-        # groups: one leader for each set, of those that it meets the one with most numbers in common
-        both = shared.withColumn("level", F.explode(F.array(self.level(), self.level() + 1)))
-        meets = both.withColumn("leader", F.first("s").over(Window.partitionBy("w", "level").orderBy("s"))).where("s <> leader")
-        chosen = meets.groupBy("s", "leader").count().groupBy("s").agg(F.max_by("leader", F.struct("count", "leader")).alias("leader"))
-        links = self.checked(chosen.select(F.col("s").alias("a"), F.col("leader").alias("b")), sets)
-        group = written(components(links).withColumnRenamed("node", "s"), "groups")
+        # groups: one leader for each set, of those outside its group the one with most numbers in common
+        both = written(shared.withColumn("level", F.explode(F.array(self.level(), self.level() + 1))).drop("n"), "levels")
+        group, links = None, None
+        for turn in range(TURNS):
+            now = both if group is None else both.join(group, "s", "left")
+            now = now.withColumn("own", F.coalesce("component", "s") if group is not None else F.col("s"))
+            first = F.first(F.struct("s", "own")).over(Window.partitionBy("w", "level").orderBy(F.xxhash64("s", F.lit(turn)), "s"))
+            meets = now.withColumn("leader", first).where("own <> leader.own").select("s", F.col("leader.s").alias("leader"))
+            chosen = meets.groupBy("s", "leader").count().groupBy("s").agg(F.max_by("leader", F.struct("count", "leader")).alias("leader"))
+            more = self.checked(chosen.select(F.col("s").alias("a"), F.col("leader").alias("b")), sets)
+            if group is not None and more.isEmpty():
+                break
+            links = more if links is None else links.unionAll(more)
+            group = written(components(links).withColumnRenamed("node", "s"), "groups")
 
         # the matrix: which numbers the blocks of each group hold
         of = shared.join(group, "s", "left").withColumn("component", F.coalesce("component", "s")).withColumn("level", self.level())

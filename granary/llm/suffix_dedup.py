@@ -169,27 +169,32 @@ class Dedup:
             return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), pa.array(hashes, pa.int64()), pa.array(raw, pa.binary()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(at, pa.list_(pa.int32()))], ["key", "hash", "window", "first", "last", "places"])
 
         cuts = written(docs.mapInArrow(cut, "key binary, hash long, window binary, first int, last int, places array<int>"), "windows")
-        full, out = least - k, []
-        # span [lo, hi] of starts; bucket: all strings from these starts that windows of one bucket hold can be equal
+        full = least - k
+        start, end = F.greatest("lo", "first"), F.least("hi", F.col("last") - least) + least  # all starts of a span inside the document
+        whole = lambda df: df.where(start + least <= end).select("key", "places", start.alias("start"), end.alias("end"))
+        # span [lo, hi] of starts; all strings from these starts that can be equal are in one bucket
         left = cuts.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(full)).withColumn("bucket", F.col("hash"))
+        out = [whole(left.where(F.size("places") > 1))]  # equal windows in one document
         while True:
-            counts = left.groupBy("bucket", "lo").count().where(F.col("count") > HOT).withColumnRenamed("count", "all")
-            counts = written(counts, "hot")
-            hot = not counts.isEmpty()
-            cool = left.join(counts, ["bucket", "lo"], "left_anti") if hot else left
-            out.append(self.built(cool))
-            if not hot:
+            counts = written(left.groupBy("bucket", "lo").count().where("count > 1"), "counts")
+            out.append(self.built(left.join(counts.where(F.col("count") <= HOT), ["bucket", "lo"], "left_semi")))
+            hot = counts.where(F.col("count") > HOT)
+            if hot.isEmpty():
                 break
-            rest = left.join(counts, ["bucket", "lo"], "left_semi")
-            alone = rest.where("lo = hi").select("key", "places", F.col("lo").alias("start"), (F.col("lo") + least).alias("end"))
-            out.append(alone)  # equal in all the bytes of the only start
+            # windows that are equal over the whole span: all repeat, and one of them stands for the others
+            span = F.expr(f"substring(window, lo + 1, hi - lo + {least})")
+            rest = left.join(hot.select("bucket", "lo"), ["bucket", "lo"], "left_semi").withColumn("same", F.sha2(F.concat(span, F.encode(F.concat_ws(",", F.greatest("lo", "first"), F.least(F.col("hi") + least, F.col("last"))), "UTF-8")), 256))
+            rest = written(rest, "hot")
+            equal = written(rest.groupBy("bucket", "lo", "same").count().where("count > 1"), "equal")
+            out.append(whole(rest.join(equal, ["bucket", "lo", "same"], "left_semi")))
+            rest = written(rest.dropDuplicates(["bucket", "lo", "same"]).drop("same"), "rest")
+            still = rest.groupBy("bucket", "lo").count().where(F.col("count") > HOT).select("bucket", "lo")
             middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
             halves = F.array(F.struct(F.col("lo").alias("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), F.col("hi").alias("hi")))
-            left = rest.where("lo < hi").withColumn("half", F.explode(halves)).withColumn("lo", F.col("half.lo")).withColumn("hi", F.col("half.hi")).drop("half")
+            split = rest.join(still, ["bucket", "lo"], "left_semi").where("lo < hi").withColumn("half", F.explode(halves)).withColumn("lo", F.col("half.lo")).withColumn("hi", F.col("half.hi")).drop("half")
             shared = F.expr(f"substring(window, hi + 1, lo + {least} - hi)")
-            # a string over PAD is none: its span is dropped once it has a single start
-            left = left.where(f"first <= hi AND last >= lo + {least}").withColumn("bucket", F.xxhash64("hash", "lo", shared))
-            left = written(left, "left")
+            split = split.where(f"first <= hi AND last >= lo + {least}").withColumn("bucket", F.xxhash64("hash", "lo", shared))
+            left = written(rest.join(still, ["bucket", "lo"], "left_anti").select(*left.columns).unionAll(split.select(*left.columns)), "left")
         found = out[0]
         for more in out[1:]:
             found = found.unionAll(more)
@@ -230,10 +235,7 @@ class Dedup:
             for span in np.unique(lo):  # a window is in one bucket of each span, and must not meet itself
                 own = np.flatnonzero(lo == span)
                 found[:, own] = repeats(np.ascontiguousarray(block[own].T), starts, least)
-            # several places of one document with equal windows: they repeat as far as the document reaches
-            several = np.diff(batch.column("places").offsets.to_numpy()) > 1
             start = np.arange(starts)[:, None]
-            found |= several & (start >= first) & (start + least <= last)
             found &= (start >= lo) & (start <= hi)
             begin, end = found.argmax(0), starts - 1 - found[::-1].argmax(0) + least
             out = pa.RecordBatch.from_arrays([batch.column("key"), batch.column("places"), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], ["key", "places", "start", "end"])
