@@ -1,8 +1,45 @@
-"""Corpus pipeline: documents through five stages, each of them one operator of granary.llm."""
+"""Corpus pipeline: documents through five stages, each of them one operator of granary.llm.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; between stages
+rows are Parquet. All but the last return the columns of documents."""
+
+from pyspark.sql import functions as F
+
+from granary.llm import common, mixing, ngram_join, packing, pii, quality
+
+
+def good(spark, docs, sf_dir):
+    """Documents whose probability of the highest grade is high enough."""
+    return quality.selected(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def different(spark, docs, sf_dir):
+    """One document, the smallest doc_id, of each group linked by five-word shingles at 0.8 or more."""
+    kept = ngram_join.Join(docs, 5, 80, 100).run().where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
+def private(spark, docs, sf_dir):
+    """Personal data replaced by its kind."""
+    return pii.redacted(docs)
+
+
+def mixed(spark, docs, sf_dir):
+    """Documents as often as the mix takes them; where it takes a part, that part's words."""
+    return mixing.applied(docs)
+
+
+def packed(spark, docs, sf_dir):
+    """Pieces with their places in sequences."""
+    return packing.packed(packing.pieces(docs))
+
+
+STAGES = [("quality", good), ("near_duplicates", different), ("pii", private), ("mixing", mixed), ("packing", packed)]
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = common.written(stage(spark, docs, sf_dir), name)
+    return docs

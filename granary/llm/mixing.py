@@ -97,6 +97,24 @@ def mix(docs: DataFrame, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
     return line, draws
 
 
+def applied(docs: DataFrame) -> DataFrame:
+    """docs as the mix takes them: a row for each time that a document is taken whole, and at most one with the first words of the last time."""
+    line, draws = mix(docs)
+    taken = draws.groupBy("row").agg(F.sum("words").alias("taken")).join(line.select("row", "doc_id", "source", "size"), "row")
+    taken = taken.groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows"))
+    taken = taken.select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_size"), "taken", "rows")
+    own = (F.col("doc_id").eqNullSafe(F.col("_doc"))) & F.col("source").eqNullSafe(F.col("_source")) & (words(F.col("text")) == F.col("_size"))
+    # rows that are the same share what the mix takes of them; the first word counts go to the whole ones
+    times = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("rows") / F.col("_size")).cast("int"))
+    each = docs.join(taken, own).withColumn("_part", F.ceil(F.col("taken") / F.col("rows")))
+    each = each.withColumn("_time", F.explode(times)).withColumn("_left", F.col("_part") - (F.col("_time") - 1) * F.col("_size"))
+    cut = F.array_join(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, F.col("_left").cast("int")), " ")
+    out = each.withColumn("text", F.when(F.col("_left") < F.col("_size"), cut).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
     """The contract's columns: how many words of each document the schedule takes."""
     line, draws = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -112,6 +112,21 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.select("doc_id", F.round(F.col("tail_1") + F.col("tail_2"), 6).alias("expected"), F.round("tail_1", 6).alias("tail_1"), F.round("tail_2", 6).alias("tail_2"), (F.col("tail_2") >= KEEP).alias("kept"))
 
 
+def selected(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that score() keeps."""
+    weights, cuts = fit(sample(docs, labels))
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = shared.value
+        for batch in batches:
+            s = [float((w[i] * v).sum()) for i, v in (features(t or "") for t in batch.column(at).to_pylist())]
+            yield batch.filter(pa.array([1 / (1 + np.exp(-np.clip(x - cuts[1], -40, 40))) >= KEEP for x in s], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op4_quality(spark, sf_dir: str) -> DataFrame:
     return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
