@@ -193,8 +193,10 @@ def spans(text: str, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[
 
 
 def trained(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows = texts(docs).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).select("doc_id", "text").limit(SAMPLE).select("text").collect()
-    return fit([r["text"] for r in rows])
+    # ids are chosen before texts are read: a task's share of a top-k is as large as all of it
+    kept = docs.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    rows = texts(docs).join(F.broadcast(kept), "doc_id").select("doc_id", "text").limit(SAMPLE).collect()
+    return fit([r["text"] for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))])
 
 
 def find(docs: DataFrame) -> DataFrame:
