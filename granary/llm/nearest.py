@@ -132,9 +132,9 @@ class Search:
                 v = arrays(t["v"])
                 p = v @ matrix[:-1]
                 order = np.argsort(gaps(p), axis=1, kind="stable")[:, :HOME] if len(v) else np.zeros((0, HOME), int)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(p), pa.list_(pa.float64())), pa.array(list(order), pa.list_(pa.int64())), pa.nulls(len(v), pa.float64())], ["vec_id", "v", "p", "leaves", "best"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(p), pa.list_(pa.float64())), pa.array(list(order), pa.list_(pa.int64())), pa.nulls(len(v), pa.float64()), pa.nulls(len(v), pa.float64())], ["vec_id", "v", "p", "leaves", "best", "worst"])
 
-        first = written(asked.mapInArrow(homes, "vec_id long, v array<double>, p array<double>, leaves array<long>, best double"), "queries")
+        first = written(asked.mapInArrow(homes, "vec_id long, v array<double>, p array<double>, leaves array<long>, best double, worst double"), "queries")
 
         def verify(key, left: pa.Table, right: pa.Table) -> pa.Table:
             """left: vectors of a block; right: queries dealt to it."""
@@ -145,6 +145,8 @@ class Search:
                 near = np.flatnonzero((((p - np.array(q["p"])) ** 2).sum(1) <= limit) & (ids != q["vec_id"]))
                 if len(near):
                     s = np.einsum("ij,j->i", v[near], np.array(q["v"]))
+                    if q["worst"] is not None:  # below the K-th best of the first round nothing counts
+                        near, s = near[s >= q["worst"]], s[s >= q["worst"]]
                     if len(s) > k:  # all that tie with the k-th stay here
                         best = s >= np.partition(s, len(s) - k)[len(s) - k]
                         near, s = near[best], s[best]
@@ -158,10 +160,10 @@ class Search:
             return pa.table({"query_id": whole[0].astype(np.int64), "vec_id": whole[1].astype(np.int64), "score": whole[2].astype(float)})
 
         def searched(queries: DataFrame) -> DataFrame:
-            dealt = queries.withColumn("leaf", F.explode("leaves")).select("vec_id", "v", "p", "best", "leaf")
+            dealt = queries.withColumn("leaf", F.explode("leaves")).select("vec_id", "v", "p", "best", "worst", "leaf")
             parts = dealt.groupBy("leaf").agg(F.ceil(F.count("*") / PART).alias("parts"))
             dealt = dealt.join(count, "leaf").join(parts, "leaf")
-            right = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts"))).select("leaf", "block", "part", "vec_id", "v", "p", "best")
+            right = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts"))).select("leaf", "block", "part", "vec_id", "v", "p", "best", "worst")
             left = indexed.join(parts, "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("leaf", "block", "part", "vec_id", "v", "p")
             by = ["leaf", "block", "part"]
             return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(verify, schema)
@@ -183,10 +185,10 @@ class Search:
                 best = np.where(np.isnan(worst), np.inf, np.maximum(m + (v**2).sum(1) - 2 * worst, 0.0)) if len(v) else worst
                 ok = gaps(p) <= (best * QUANTILE * (1 + 1e-9))[:, None] if len(v) else []
                 leaves = [sorted(set(np.flatnonzero(o).tolist()) - set(h)) for o, h in zip(ok, t["leaves"].to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(leaves, pa.list_(pa.int64())), pa.array([None if np.isinf(x) else float(x) for x in best], pa.float64())], ["vec_id", "v", "p", "leaves", "best"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(leaves, pa.list_(pa.int64())), pa.array([None if np.isinf(x) else float(x) for x in best], pa.float64()), b.column(4)], ["vec_id", "v", "p", "leaves", "best", "worst"])
 
         joined = first.join(bound, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", "p", "leaves", "worst")
-        second = written(joined.mapInArrow(further, "vec_id long, v array<double>, p array<double>, leaves array<long>, best double"), "second")
+        second = written(joined.mapInArrow(further, "vec_id long, v array<double>, p array<double>, leaves array<long>, best double, worst double"), "second")
         return top(home.unionAll(searched(second))).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 #: The contract's rules.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -48,7 +49,7 @@ def unigrams(pages: DataFrame) -> DataFrame:
     return pages.select(F.explode(F.regexp_extract_all(visible, F.lit(r"[a-z]{2,24}"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _best_split(label: pd.Series, words: pd.Series, total: pd.Series) -> pd.Series:
     """Viterbi over a label's characters; words that aren't known cost 10 / (total * 10 ** length)."""
 
@@ -114,7 +115,7 @@ def judge(pages: DataFrame) -> DataFrame:
     known = written(tokens(own, unigrams(pages)), "tokens")
     prior, weights = fit(known.where("by_rule IS NOT NULL").select("by_rule.verdict", "features"))
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def odds(features: pd.Series) -> pd.Series:
         return pd.Series([prior + float(weights[np.asarray(f, dtype=np.int64)].sum()) for f in features])
 
