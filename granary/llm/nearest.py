@@ -187,7 +187,7 @@ class Search:
                 leaves = [sorted(set(np.flatnonzero(o).tolist()) - set(h)) for o, h in zip(ok, t["leaves"].to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(leaves, pa.list_(pa.int64())), pa.array([None if np.isinf(x) else float(x) for x in best], pa.float64()), b.column(4)], ["vec_id", "v", "p", "leaves", "best", "worst"])
 
-        joined = first.join(bound, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", "p", "leaves", "worst")
+        joined = first.drop("worst").join(bound, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", "p", "leaves", "worst")
         second = written(joined.mapInArrow(further, "vec_id long, v array<double>, p array<double>, leaves array<long>, best double, worst double"), "second")
         return top(home.unionAll(searched(second))).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -4,8 +4,8 @@ Grades 0, 1, 2: junk; sound but toxic; sound and not toxic. P(grade > k) = sigmo
 weight vector over hashed words and ordered thresholds t_0 <= t_1. The fit reads a bounded sample of
 labelled documents (SAMPLE, the smallest hashes of their ids); every document is scored.
 
-Features, each divided so that a text's length doesn't matter: the presence of each word, and the share of
-words that repeat, are in capitals, or hold signs.
+Features: the presence of each word and of each beginning of four letters, and the share of words that
+repeat, are in capitals, or hold signs.
 
 Defined cases: a null or empty text has no features and gets the thresholds' own probabilities; repeated
 rows are scored alike; without labels every document is kept, at the highest grade; an empty table gives
@@ -25,14 +25,16 @@ from pyspark.sql import functions as F
 from .common import texts
 
 #: Labelled documents that the fit reads at most; hashed word features; grades.
-SAMPLE, BITS, GRADES = 4000, 16, 3
+SAMPLE, BITS, GRADES = 4000, 18, 3
+#: Documents of the sample that a word must be in for a weight of its own.
+SEEN = 4
 DIM = (1 << BITS) + 8
 #: A document is kept if the probability of the highest grade is at least this.
 KEEP = 0.5
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers and values: words in lower case count once; then four dense measures."""
+    """Feature numbers and values: words in lower case and their stems count once; then the dense measures."""
     words = text.split()
     n = len(words)
     if not n:
@@ -40,7 +42,8 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     once = set(words)
     bare = {w.strip(".,;:!?\"'()").lower() for w in once}
     crc, mask = zlib.crc32, (1 << BITS) - 1
-    idx = [crc(w.encode("utf-8", "surrogatepass")) & mask for w in bare]
+    stems = {w[:4] + "-" for w in bare if len(w) > 4}  # inflected forms share it
+    idx = [crc(w.encode("utf-8", "surrogatepass")) & mask for w in bare | stems]
     value = [1.0] * len(idx)
     signs = sum(1 for w in words if not w[-1].isalnum() and w[-1] not in ".,;:!?\"')")
     loud = sum(1 for w in words if len(w) > 1 and w.isupper())
@@ -53,8 +56,9 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array(idx, np.int64), np.array(value)
 
 
-def fit(rows: list[tuple[str, int]], rounds: int = 250, rate: float = 0.05, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds by full-batch Adam on the likelihood, classes weighing the same."""
+def fit(rows: list[tuple[str, int]], rounds: int = 300, rate: float = 0.05, lasso: float = 2e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds by full-batch Adam on the likelihood, rare grades weighing more. Words of under SEEN
+    documents of the sample get no weight, and small weights are cut to 0, so that long texts gather no noise."""
     w, base, gap = np.zeros(DIM), -1.0, 0.0
     if not rows:
         return w, np.array([-20.0, -20.0])
@@ -62,15 +66,19 @@ def fit(rows: list[tuple[str, int]], rounds: int = 250, rate: float = 0.05, ridg
     at = np.repeat(np.arange(len(rows)), [len(i) for i, _ in each])
     idx, val = np.concatenate([i for i, _ in each]), np.concatenate([v for _, v in each])
     y = np.array([g for _, g in rows])
+    known = np.bincount(idx, minlength=DIM) >= SEEN
+    at, val = at[known[idx]], val[known[idx]]
+    used, idx = np.unique(idx[known[idx]], return_inverse=True)
+    n = len(used)
     share = np.bincount(y, minlength=GRADES) / len(y)
     weight = 1 / np.maximum(share[y], 1e-9) ** 0.5
     weight /= weight.sum()
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    p = np.concatenate([w, [base, gap]])
+    p = np.concatenate([w[:n], [base, gap]])
     m, v = np.zeros_like(p), np.zeros_like(p)
     for t in range(1, rounds + 1):
-        w, base, width = p[:DIM], p[DIM], np.exp(np.clip(p[DIM + 1], -10, 10))
-        s = np.bincount(at, val * w[idx], minlength=len(rows))
+        own_w, base, width = p[:n], p[n], np.exp(np.clip(p[n + 1], -10, 10))
+        s = np.bincount(at, val * own_w[idx], minlength=len(rows))
         up0, up1 = sig(s - base), sig(s - base - width)  # P(grade > 0), P(grade > 1)
         probs = np.stack([1 - up0, up0 - up1, up1])
         own = np.maximum(probs[y, np.arange(len(y))], 1e-12)
@@ -78,11 +86,13 @@ def fit(rows: list[tuple[str, int]], rounds: int = 250, rate: float = 0.05, ridg
         g0 = np.where(y == 0, -d0, np.where(y == 1, d0, 0)) / own * weight  # by (s - base) through up0
         g1 = np.where(y == 1, -d1, np.where(y == 2, d1, 0)) / own * weight
         g = g0 + g1
-        grad = -np.concatenate([np.bincount(idx, val * g[at], minlength=DIM), [-g.sum(), -(g1 * width).sum()]])
-        grad[:DIM] += ridge * w
+        grad = -np.concatenate([np.bincount(idx, val * g[at], minlength=n), [-g.sum(), -(g1 * width).sum()]])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        p = p - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return p[:DIM], np.array([p[DIM], p[DIM] + np.exp(np.clip(p[DIM + 1], -10, 10))])
+        step = rate / (np.sqrt(v / (1 - 0.999**t)) + 1e-6)
+        p = p - step * (m / (1 - 0.9**t))
+        p[:n] = np.sign(p[:n]) * np.maximum(np.abs(p[:n]) - step[:n] * lasso, 0)
+    w[used] = p[:n]
+    return w, np.array([p[n], p[n] + np.exp(np.clip(p[n + 1], -10, 10))])
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> list[tuple[str, int]]:
