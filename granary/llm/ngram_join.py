@@ -1,8 +1,8 @@
 """N-gram Jaccard join by a token-group matrix; its answer is each document's component of linked documents.
 
 A document's set holds its distinct word shingles as 62-bit numbers, in an order that all documents share:
-frequent shingles last, else by number. Two sets that link share a number among their first
-n - ceil(t * n) + 1 (the prefix), so only prefixes are compared at first.
+frequent shingles last, the most frequent at the end, else by number. Two sets that link share a number
+among their first n - ceil(t * n) + 1 (the prefix), so only prefixes are compared at first.
 
 1. Documents are partitioned into groups of similar ones: each set is verified against one leader, the set
    it shares most prefix numbers with by way of one set for each number. What links makes groups; a few turns.
@@ -14,7 +14,7 @@ n - ceil(t * n) + 1 (the prefix), so only prefixes are compared at first.
 
 No link is lost and nothing is capped: the bounds are necessary conditions, the last check is exact (but for
 equal 62-bit hashes of different shingles). What is broadcast, the frequent shingles, has under HEAVY
-entries, since each makes over one part in HEAVY of all shingles.
+entries, since each makes over one part in HEAVY of a total.
 
 Defined cases: a null or empty text, or one without words, has an empty set, links with nothing and is its
 own component; with fewer words than a shingle the whole sequence is the one shingle; equal sets are one
@@ -35,8 +35,10 @@ from .common import components, texts, written
 
 #: The contract's measure: shingles of N words; a link when DEN * intersection >= NUM * union.
 N, NUM, DEN = 4, 85, 100
-#: A shingle is frequent if it makes more than 1 / HEAVY of all, and LEAST at least: a bound for what is broadcast.
+#: A shingle is frequent if it is in over LEAST sets and makes over 1 / HEAVY of all such: a bound for what is broadcast.
 HEAVY, LEAST = 1 << 21, 16
+#: Of the shingles that a batch holds once, the count of frequent ones takes one in THIN.
+THIN = 8
 #: Sets in a block of a group; how often sets look for a leader before groups are opened (any number gives the same links).
 BLOCK, TURNS = 64, 3
 
@@ -71,12 +73,12 @@ def shingles(text: str, n: int = N) -> np.ndarray:
     return np.unique((_mixed(out + np.uint64(k)) >> np.uint64(2)).astype(np.int64))
 
 
-def ordered(numbers: np.ndarray, heavy: np.ndarray) -> np.ndarray:
-    """The numbers with bit 62 set for frequent ones, sorted."""
+def ordered(numbers: np.ndarray, heavy: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The numbers, sorted; a frequent one (heavy is sorted) becomes 2^62 plus its place by frequency."""
     if not len(heavy) or not len(numbers):
         return numbers
     at = np.minimum(np.searchsorted(heavy, numbers), len(heavy) - 1)
-    return np.sort(numbers | ((heavy[at] == numbers).astype(np.int64) << 62))
+    return np.sort(np.where(heavy[at] == numbers, place[at] + (1 << 62), numbers))
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -102,22 +104,31 @@ class Join:
     def __init__(self, docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN):
         self.docs, self.n, self.num, self.den = texts(docs), n, num, den
 
-    def frequent(self) -> np.ndarray:
-        """Shingles over 1 / HEAVY of all. A share that large overall is as large in some batch, so batches report only those."""
+    def frequent(self) -> tuple[np.ndarray, np.ndarray]:
+        """Frequent shingles, sorted, and each one's place when sorted by frequency.
+
+        A batch reports what it holds more than once, and of the rest one in THIN, which counts THIN times. Only
+        the order of numbers depends on it, and the links on no order. Fewer than HEAVY come out, as each makes
+        over 1 / HEAVY of what was reported over LEAST times."""
         n = self.n
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 sets = [shingles(t, n) for t in batch.column(1).to_pylist()]
                 numbers, counts = np.unique(np.concatenate(sets) if sets else np.empty(0, np.int64), return_counts=True)
-                kept = (counts > 1) & (counts > counts.sum() / HEAVY)
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(numbers[kept], -1)), pa.array(np.append(counts[kept], counts.sum()))], ["w", "c"])
-
-        sums = written(self.docs.mapInArrow(count, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "counts")
-        total = sums.where("w = -1").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-        return np.sort(np.array([r["w"] for r in sums.where((F.col("w") >= 0) & (F.col("c") > max(total / HEAVY, LEAST))).select("w").toLocalIterator()], np.int64))
-
-    def prefixes(self, heavy: np.ndarray) -> DataFrame:
+                salt = np.uint64(xxhash.xxh3_64_intdigest(numbers.tobytes()))
+                drawn = _mixed(numbers.astype(np.uint64) ^ salt) % np.uint64(THIN) == 0
+                kept = (counts > 1) | drawn
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[kept]), pa.array(np.where(counts > 1, counts, THIN)[kept])], ["w", "c"])
+
+        sums = written(self.docs.mapInArrow(count, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")).where(F.col("c") > LEAST), "counts")
+        total = sums.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+        found = sums.where(F.col("c") > total / HEAVY).orderBy("w").toArrow()
+        place = np.empty(len(found), np.int64)
+        place[np.argsort(found["c"].to_numpy(), kind="stable")] = np.arange(len(found))
+        return found["w"].to_numpy(), place
+
+    def prefixes(self, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
         """(doc_id, s, n, prefix): s names the set, n is its size."""
         shared, n, num, den = self.docs.sparkSession.sparkContext.broadcast(heavy), self.n, self.num, self.den
 
@@ -129,7 +140,7 @@ class Join:
                     k = len(raw)
                     name.append(xxhash.xxh3_64_intdigest(raw.tobytes()) - (1 << 63))
                     size.append(k)
-                    prefix.append(ordered(raw, shared.value)[: k + num * k // -den + 1] if k else raw)
+                    prefix.append(ordered(raw, *shared.value)[: k + num * k // -den + 1] if k else raw)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(name, pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "s", "n", "prefix"])
 
         return self.docs.mapInArrow(cut, f"doc_id {self.docs.schema['doc_id'].dataType.simpleString()}, s long, n long, prefix array<long>")
