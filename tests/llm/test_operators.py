@@ -97,6 +97,12 @@ def linked(texts, n, num, den):
     return [(len(s), to[i]) for i, s in enumerate(sets)]
 
 
+def test_ngram_order():
+    heavy, place = np.array([5, 9]), np.array([1, 0])
+    assert ngram_join.ordered(np.array([1, 5, 9, 11]), heavy, place).tolist() == [1, 11, 1 << 62, (1 << 62) + 1]
+    assert not len(ngram_join.ordered(np.empty(0, np.int64), heavy, place)) and ngram_join.ordered(heavy, heavy[:0], place[:0]).tolist() == [5, 9]
+
+
 @pytest.mark.parametrize(("n", "num", "den"), [(4, 85, 100), (5, 80, 100)])
 def test_ngram_join(spark, monkeypatch, n, num, den):
     monkeypatch.setattr(ngram_join, "BLOCK", 3)
