@@ -241,6 +241,50 @@ def test_chroma(spark):
     assert chroma.fingerprint(sound[2 * 5 * chroma.HOP :]) == chroma.fingerprint(sound)[5:]  # a later start only shifts
 
 
+def least_errors(query, fp):
+    """(errors, offset) over all offsets with enough overlap."""
+    out = []
+    for offset in range(-len(query), len(fp)):
+        low, high = max(0, -offset), min(len(query), len(fp) - offset)
+        if high - low >= chroma.OVERLAP * min(len(query), len(fp)) and high > low:
+            bits = np.bitwise_count(query[low:high].view(np.uint32) ^ fp[low + offset : high + offset].view(np.uint32)).sum()
+            out.append((int(bits) / (32.0 * (high - low)), offset))
+    return min(out)
+
+
+def test_chroma_overlap(spark):
+    """One frame in common at the edge is no match, nor does it displace a copy at a larger error."""
+    r = np.random.default_rng(8)
+    frames = lambda k: r.integers(-(1 << 31), 1 << 31, k).astype(np.int32)
+    query, edge = frames(34), frames(34)
+    edge[0] = query[-1]
+    copy = query.copy()
+    copy[3] ^= 1
+    rows = [(0, query), (1, edge), (2, np.concatenate([frames(5), copy]))]
+    tie = frames(34)  # two integers in common at each of two offsets; only the later one is right
+    near = np.concatenate([frames(4), tie ^ (1 << r.integers(0, 16, 34)).astype(np.int32) ^ (1 << r.integers(16, 32, 34)).astype(np.int32)])
+    near[4 + 5], near[4 + 9], near[5 - 3], near[9 - 3] = tie[5], tie[9], tie[5], tie[9]
+    rows += [(50, tie), (51, near)]
+    out = rows_of(chroma.aligned(spark.createDataFrame([(i, f.tolist()) for i, f in rows], "rec_id long, fp array<int>")), "query_id")
+    assert (out[0]["matches"], out[0]["best_id"], out[0]["best_offset"], out[0]["best_errors"]) == (1, 2, 5, round(1 / (34 * 32), 6))
+    errors, offset = least_errors(tie, near)
+    assert offset == 4 and (out[50]["matches"], out[50]["best_id"], out[50]["best_offset"], out[50]["best_errors"]) == (1, 51, 4, round(errors, 6))
+
+
+def test_chroma_recall(spark):
+    """Copies with random bit errors against all pairs and offsets."""
+    r = np.random.default_rng(9)
+    for rate, least in ((0.05, 1), (0.1, 0.98), (0.15, 0.9), (0.19, 0.75)):
+        rows = {}
+        for i in range(40):
+            rows[50 * i] = r.integers(-(1 << 31), 1 << 31, 34).astype(np.int32)
+            rows[50 * i + 1] = rows[50 * i] ^ (r.random((34, 32)) < rate).dot(1 << np.arange(32)).astype(np.uint32).view(np.int32)
+        brute = {q: (e, o, i) for q in rows if q % 50 == 0 for i in rows if i != q for e, o in [least_errors(rows[q], rows[i])] if e <= chroma.ERRORS}
+        out = rows_of(chroma.aligned(spark.createDataFrame([(i, f.tolist()) for i, f in rows.items()], "rec_id long, fp array<int>")), "query_id")
+        found = {q: (x["best_errors"], x["best_offset"], x["best_id"]) for q, x in out.items() if x["matches"]}
+        assert all(found[q] == (round(brute[q][0], 6), *brute[q][1:]) for q in found) and len(found) >= least * len(brute) > 0
+
+
 def test_url_filter(spark):
     urls = ["http://www.EXAMPLE.com/en/x", "https://blog.example.com/en/a?b", "http://example.com/fr/", "ftp://a.net/es/", "no url", None, "http://other.org", "http://net/fr/x#y", "http://xnet/fr/"]
     df = spark.createDataFrame([(i, u, "<p>the other words</p>") for i, u in enumerate(urls)], "page_id long, url string, html string")
