@@ -1,6 +1,6 @@
 """Best-fit packing planned on the histogram of lengths.
 
-Documents are cut into pieces of at most `width` tokens. The plan is made on the histogram (at most `width`
+Documents are cut into pieces of `width` tokens; the first piece may be shorter. The plan is made on the histogram (at most `width`
 counts): best fit in order of decreasing length, where sequences that look alike are handled as one run.
 Pieces then take the planned places by joining on their rank within their length.
 
@@ -59,12 +59,14 @@ def pieces(docs: DataFrame, path: str | None = None, width: int = WIDTH) -> Data
                 ids = encode(text)
                 ids.append(END)
                 raw = np.array(ids, dtype="<u4").tobytes()
-                for k, at in enumerate(range(0, len(ids), width)):
+                first = (len(ids) - 1) % width + 1
+                for k, end in enumerate(range(first, len(ids) + 1, width)):
+                    at = max(0, end - width)
                     of.append(i)
                     piece.append(k)
                     start.append(at)
-                    length.append(min(width, len(ids) - at))
-                    held.append(raw[4 * at : 4 * (at + width)])
+                    length.append(end - at)
+                    held.append(raw[4 * at : 4 * end])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(held, pa.binary())], ["doc_id", "piece", "start", "length", "ids"])
 
     return texts(docs).mapInArrow(cut, f"doc_id {id_type}, piece int, start long, length long, ids binary")

@@ -241,6 +241,22 @@ def test_chroma(spark):
     assert chroma.fingerprint(sound[2 * 5 * chroma.HOP :]) == chroma.fingerprint(sound)[5:]  # a later start only shifts
 
 
+def test_packing_first_piece(spark):
+    """Only the first piece is shorter, and pieces follow each other without gaps."""
+    texts = ["a " * n for n in (1499, 1023, 1024, 2047, 2048, 3000)] + [None]
+    own = {}
+    for r in packing.pieces(frame(spark, texts)).collect():
+        own.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["length"], len(r["ids"])))
+    cut = packing.pieces(frame(spark, texts), width=1 << 20)
+    for doc_id, whole in rows_of(cut).items():
+        at = 0
+        for k, (piece, start, length, held) in enumerate(sorted(own[doc_id])):
+            assert piece == k and start == at and held == 4 * length and (length == 1024 if k else 1 <= length <= 1024)
+            at += length
+        assert at == whole["length"]
+    assert any(len(x) > 1 and sorted(x)[0][2] < 1024 for x in own.values())
+
+
 def least_errors(query, fp):
     """(errors, offset) over all offsets with enough overlap."""
     out = []
