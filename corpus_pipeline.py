@@ -14,9 +14,20 @@ def good(spark, docs, sf_dir):
 
 
 def different(spark, docs, sf_dir):
-    """One document, the smallest doc_id, of each group linked by five-word shingles at 0.8 or more."""
-    kept = ngram_join.Join(docs, 5, 80, 100).run().where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each group linked by five-word shingles at 0.8 or more: of the smallest doc_id, null last.
+
+    Rows are told apart by all of their columns, not by doc_id: a null doc_id is a document like any other, and
+    rows of one doc_id with different texts are different documents. Rows without words link to nothing and all stay."""
+    cells = [F.col(c).cast("string") for c in docs.columns]
+    keyed = docs.withColumn("_row", common.key_of(*[F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in cells]))
+    linked = ngram_join.Join(keyed.select(F.col("_row").alias("doc_id"), "text"), 5, 80, 100).run()
+    rows = common.written(linked.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_component"), (F.col("n_shingles") == 0).alias("_empty")).distinct(), "rows")
+    ids = keyed.select("_row", "doc_id").distinct()
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
+    kept = rows.where("NOT _empty").join(ids, "_row").groupBy("_component").agg(least.alias("_least")).select("_least._row", F.lit(False).alias("_empty"))
+    kept = kept.unionAll(rows.where("_empty").select("_row", "_empty"))
+    each = F.when(F.col("_empty"), F.monotonically_increasing_id())
+    return keyed.join(kept, "_row").withColumn("_each", each).dropDuplicates(["_row", "_each"]).select(*docs.columns)
 
 
 def private(spark, docs, sf_dir):
