@@ -1,51 +1,56 @@
 """N-gram Jaccard join by a token-group matrix; its answer is each document's component of linked documents.
 
-A document's set holds its distinct word shingles as 62-bit numbers, in an order that all documents share:
-frequent shingles last, the most frequent at the end, else by number. Two sets that link share a number
-among their first n - ceil(t * n) + 1 (the prefix), so only prefixes are compared at first.
-
-1. Documents are partitioned into groups of similar ones: each set is verified against one leader, the set
-   it shares most prefix numbers with by way of one set for each number. What links makes groups; a few turns.
-2. The matrix (number, group) holds the union of each group's prefixes, a block of at most BLOCK sets at a
-   time. Every set counts the columns it hits in groups other than its own, which bounds its overlap with
-   any of their members.
-3. Only groups whose bound reaches the threshold are opened: their members are checked by prefixes, then
-   by whole sets. Pairs within a group need no check: they are connected already.
-
-No link is lost and nothing is capped: the bounds are necessary conditions, the last check is exact (but for
-equal 62-bit hashes of different shingles). What is broadcast, the frequent shingles, has under HEAVY
-entries, since each makes over one part in HEAVY of a total.
+A document's set holds its distinct word shingles as 62-bit numbers. Sets of sizes n and m link if they
+differ in at most D = (n + m) * (1 - t) / (1 + t) numbers. The range of numbers is cut into more than D parts,
+so sets that link have a part in which they agree and which isn't empty: a key, made of several shingles, that
+only similar sets share, however frequent each shingle is. (How many parts there are depends on the size, in
+levels; a set has keys for each level that it can meet partners on.)
+
+1. Documents are partitioned into groups of similar ones: each set is held against the smallest and the
+   largest set it shares most keys with. What links makes groups, cut into blocks of at most BLOCK sets.
+2. The matrix (key, block) is read by every set that shares a key with a block of another group. A block
+   stores the union of its sets' tokens, and the tokens that all of them have, as BITS_U bits each: tokens of
+   the set outside the union, and common ones that it lacks, bound its overlap with any member from above.
+3. Only blocks whose bound reaches the threshold are opened: their members are bounded one by one (parities of
+   BITS_P bits differ by no more than the sets), then checked by whole sets. Pairs within a group need no check:
+   they are connected already.
+
+No link is lost and nothing is capped or broadcast: the bounds are necessary conditions, the last check is exact
+but for equal 62-bit hashes of different shingles, each of which changes a count by one. Sets are told apart by 128 bits.
 
 Defined cases: a null or empty text, or one without words, has an empty set, links with nothing and is its
 own component; with fewer words than a shingle the whole sequence is the one shingle; equal sets are one
-set; repeated rows each get a row; an empty table gives an empty result; only doc_id and text are read.
+set; repeated rows each get a row; a null doc_id is a document like any other, and the smallest doc_id of a component
+is null only if all are; rows of one doc_id may have different texts; an empty table gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, texts, written
 
 #: The contract's measure: shingles of N words; a link when DEN * intersection >= NUM * union.
 N, NUM, DEN = 4, 85, 100
-#: A shingle is frequent if it is in over LEAST sets and makes over 1 / HEAVY of all such: a bound for what is broadcast.
-HEAVY, LEAST = 1 << 21, 16
-#: Of the shingles that a batch holds once, the count of frequent ones takes one in THIN.
-THIN = 8
-#: Sets in a block of a group; how often sets look for a leader before groups are opened (any number gives the same links).
-BLOCK, TURNS = 64, 3
-
+#: Sets in a block of a group (any number gives the same links).
+BLOCK = 64
+#: Bits of a set's parities, and of the unions.
+BITS_P, BITS_U = 512, 256
+#: Names of sets that a task remembers, so that copies it meets again send no keys; forgetting them costs rows, no result.
+RECENT = 1 << 18
 
 #: ASCII white space, as a table of bytes; the base of the words' polynomial hash.
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _BASE = 0x9E3779B97F4A7C15
+_P, _U = [f"p{i}" for i in range(BITS_P // 64)], [f"u{i}" for i in range(BITS_U // 64)]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -73,14 +78,6 @@ def shingles(text: str, n: int = N) -> np.ndarray:
     return np.unique((_mixed(out + np.uint64(k)) >> np.uint64(2)).astype(np.int64))
 
 
-def ordered(numbers: np.ndarray, heavy: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """The numbers, sorted; a frequent one (heavy is sorted) becomes 2^62 plus its place by frequency."""
-    if not len(heavy) or not len(numbers):
-        return numbers
-    at = np.minimum(np.searchsorted(heavy, numbers), len(heavy) - 1)
-    return np.sort(np.where(heavy[at] == numbers, place[at] + (1 << 62), numbers))
-
-
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the intersection of two sorted sets."""
     if len(a) > len(b):
@@ -91,151 +88,198 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
-def bounded(p: np.ndarray, n: int, q: np.ndarray, m: int) -> int:
-    """The most that sets of n and m numbers with prefixes p and q can share."""
-    last = min(p[-1], q[-1])
-    p, q = p[: np.searchsorted(p, last, "right")], q[: np.searchsorted(q, last, "right")]
-    return overlap(p, q) + min(n - len(p), m - len(q))
+def name(w: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set, as two signed numbers."""
+    x = xxhash.xxh3_128_intdigest(w.tobytes())
+    return (x >> 64) - (1 << 63), (x & (1 << 64) - 1) - (1 << 63)
+
+
+def bits(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A set's parities and its tokens, in BITS_P and BITS_U bits, as signed 64-bit numbers."""
+    counts = np.bincount((w.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(65 - BITS_P.bit_length())).astype(np.int64), minlength=BITS_P)
+    held = counts.reshape(BITS_U, -1).any(1)
+    return tuple(np.packbits(x.astype(np.uint8), bitorder="little").view(np.int64) for x in (counts & 1, held))
+
+
+class Parts:
+    """Keys of sets such that two sets with den * intersection >= num * union share one at least."""
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
+        edge, edges = 1.0, [1]
+        while edges[-1] < 1 << 40:
+            edge *= (den / num) ** 1.5
+            edges.append(max(edges[-1] + 1, int(edge)))
+        self.edges = np.array(edges)
+
+    def most(self, level: int) -> int:
+        """Numbers in which two sets that link differ at most, the smaller one being of that level."""
+        n = int(self.edges[level + 1]) - 1
+        return (n + n * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
+
+    def of(self, w: np.ndarray) -> np.ndarray:
+        """The keys of a sorted set that isn't empty. Where too few parts hold any number, twice as many parts give further
+        keys; two such sets meet there."""
+        level = int(np.searchsorted(self.edges, len(w), "right")) - 1
+        least = -(-self.num * len(w) // self.den)  # the smallest partner
+        out, own = [], _mixed(w.astype(np.uint64))
+        while level >= 0:
+            most = self.most(level)
+            parts, more = most + 1 + (most // 8 + 2 if most else 0), 0
+            while True:
+                at = ((w >> 22) * parts) >> 40
+                first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+                salt = at[first].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(level * 64 + more + 1)
+                out.append(_mixed(np.add.reduceat(own, first) ^ _mixed(salt)).view(np.int64))
+                if len(first) > most:
+                    break
+                parts, more = parts * 2, more + 1
+            if least >= self.edges[level]:
+                break
+            level -= 1
+        return np.concatenate(out)
 
 
 class Join:
     """One run over docs: words to a shingle, and the threshold num / den."""
 
     def __init__(self, docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN):
-        self.docs, self.n, self.num, self.den = texts(docs), n, num, den
+        self.n, self.num, self.den = n, num, den
+        self.docs = texts(docs).withColumn("id", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), F.md5("text"))))
 
-    def frequent(self) -> tuple[np.ndarray, np.ndarray]:
-        """Frequent shingles, sorted, and each one's place when sorted by frequency.
+    def rows(self) -> DataFrame:
+        """(doc_id, id, hi, lo, n, keys, parities, tokens): hi and lo name the set, n is its size."""
+        n, parts = self.n, Parts(self.num, self.den)
 
-        A batch reports what it holds more than once, and of the rest one in THIN, which counts THIN times. Only
-        the order of numbers depends on it, and the links on no order. Fewer than HEAVY come out, as each makes
-        over 1 / HEAVY of what was reported over LEAST times."""
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            recent: set[tuple[int, int]] = set()
+            for batch in batches:
+                high, low, size, keys, flags = [], [], [], [], []
+                for t in batch.column(1).to_pylist():
+                    w = shingles(t, n)
+                    own = name(w)
+                    high.append(own[0])
+                    low.append(own[1])
+                    size.append(len(w))
+                    flags.append(np.concatenate(bits(w)))
+                    keys.append(parts.of(w) if len(w) and own not in recent else w[:0])
+                    recent.add(own)
+                if len(recent) > RECENT:
+                    recent.clear()
+                flags = np.array(flags, np.int64).reshape(len(size), -1)
+                ends = np.append(0, np.cumsum([len(k) for k in keys])).astype(np.int32)
+                keys = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x, pa.int64()) for x in (high, low, size)), keys, *(pa.array(np.ascontiguousarray(c)) for c in flags.T)], ["doc_id", "id", "hi", "lo", "n", "keys", *_P, *_U])
+
+        kind = self.docs.schema["doc_id"].dataType.simpleString()
+        return self.docs.mapInArrow(scan, f"doc_id {kind}, id string, hi long, lo long, n long, keys array<long>, " + ", ".join(f"{c} long" for c in _P + _U))
+
+    def fits(self, n: Column, low: Column, high: Column) -> Column:
+        """Whether a set of n numbers can link with one of low to high."""
+        return (n * self.num <= high * self.den) & (low * self.num <= n * self.den)
+
+    def most(self, n: Column, m: Column) -> Column:
+        """In how many numbers linked sets of n and m differ at most."""
+        return F.floor((n + m) * (self.den - self.num) / F.lit(self.den + self.num) + 1e-6)
+
+    def alike(self, n: str, m: str, one: list[str], two: list[str]) -> Column:
+        """By sizes and parities two sets can link."""
+        differ = reduce(add, [F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(one, two, strict=True)])
+        return self.fits(F.col(n), F.col(m), F.col(m)) & (differ <= self.most(F.col(n), F.col(m)))
+
+    def whole(self, sets: DataFrame, repeated: bool) -> DataFrame:
+        """(sid, w): the whole sets."""
         n = self.n
 
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sets = [shingles(t, n) for t in batch.column(1).to_pylist()]
-                numbers, counts = np.unique(np.concatenate(sets) if sets else np.empty(0, np.int64), return_counts=True)
-                salt = np.uint64(xxhash.xxh3_64_intdigest(numbers.tobytes()))
-                drawn = _mixed(numbers.astype(np.uint64) ^ salt) % np.uint64(THIN) == 0
-                kept = (counts > 1) | drawn
-                yield pa.RecordBatch.from_arrays([pa.array(numbers[kept]), pa.array(np.where(counts > 1, counts, THIN)[kept])], ["w", "c"])
-
-        sums = written(self.docs.mapInArrow(count, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")).where(F.col("c") > LEAST), "counts")
-        total = sums.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-        found = sums.where(F.col("c") > total / HEAVY).orderBy("w").toArrow()
-        place = np.empty(len(found), np.int64)
-        place[np.argsort(found["c"].to_numpy(), kind="stable")] = np.arange(len(found))
-        return found["w"].to_numpy(), place
-
-    def prefixes(self, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-        """(doc_id, s, n, prefix): s names the set, n is its size."""
-        shared, n, num, den = self.docs.sparkSession.sparkContext.broadcast(heavy), self.n, self.num, self.den
-
-        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                name, size, prefix = [], [], []
-                for t in batch.column(1).to_pylist():
-                    raw = shingles(t, n)
-                    k = len(raw)
-                    name.append(xxhash.xxh3_64_intdigest(raw.tobytes()) - (1 << 63))
-                    size.append(k)
-                    prefix.append(ordered(raw, *shared.value)[: k + num * k // -den + 1] if k else raw)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(name, pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "s", "n", "prefix"])
-
-        return self.docs.mapInArrow(cut, f"doc_id {self.docs.schema['doc_id'].dataType.simpleString()}, s long, n long, prefix array<long>")
-
-    def least(self, n: Column, m: Column) -> Column:
-        """What sets of n and m numbers must share to link."""
-        return F.ceil((n + m) * self.num / F.lit(self.num + self.den) - 1e-6)
-
-    def level(self) -> Column:
-        """Sets of sizes that can link are on one level or on two that adjoin."""
-        return F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(self.den / self.num * 1.0001))).cast("int")
-
-    def checked(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """Of the pairs (a, b) of sets those that link: first by prefixes, then by whole sets."""
-        num, den, n, spark = self.num, self.den, self.n, self.docs.sparkSession
-        one = sets.select(F.col("s").alias("a"), F.col("n").alias("n_a"), F.col("prefix").alias("p_a"))
-        two = sets.select(F.col("s").alias("b"), F.col("n").alias("n_b"), F.col("prefix").alias("p_b"))
-
-        def arrays(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
-            column = batch.column(batch.schema.get_field_index(name))
+                ids, high, low = (batch.column(c).to_pylist() for c in (0, 1, 2))
+                made = [shingles(t, n) for t in batch.column(3).to_pylist()]
+                own = [i for i, w in enumerate(made) if name(w) == (high[i], low[i])]  # a doc_id may have other texts
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in own], pa.int64()), pa.array([made[i] for i in own], pa.list_(pa.int64()))], ["sid", "w"])
+
+        out = self.docs.join(sets.select("sid", "hi", "lo", "id").hint("shuffle_hash"), "id").select("sid", "hi", "lo", "text").mapInArrow(scan, "sid long, w array<long>")
+        return written(out.dropDuplicates(["sid"]) if repeated else out, "whole")
+
+    def checked(self, pairs: DataFrame, whole: DataFrame) -> DataFrame:
+        """Of the pairs (a, b) of sets those that link."""
+        num, den = self.num, self.den
+
+        def arrays(batch: pa.RecordBatch, at: int) -> list[np.ndarray]:
+            column = batch.column(at)
             ends, values = column.offsets.to_numpy(), column.values.to_numpy()
             return [values[i:j] for i, j in zip(ends, ends[1:], strict=False)]
 
-        def by_prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sizes = zip(batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist(), strict=True)
-                ok = [(num + den) * bounded(p, i, q, j) >= num * (i + j) for p, q, (i, j) in zip(arrays(batch, "p_a"), arrays(batch, "p_b"), sizes, strict=True)]
-                yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
-
-        def by_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                both = zip(arrays(batch, "w_a"), arrays(batch, "w_b"), strict=True)
-                ok = [(num + den) * overlap(p, q) >= num * (len(p) + len(q)) for p, q in both]
+                ok = [(num + den) * overlap(p, q) >= num * (len(p) + len(q)) for p, q in zip(arrays(batch, 2), arrays(batch, 3), strict=True)]
                 yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, n) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], ["s", "w"])
-
-        left = written(pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "p_a", "p_b").mapInArrow(by_prefix, "a long, b long"), "pairs")
-        if left.isEmpty():
-            return left
-        needed = left.select(F.col("a").alias("s")).unionAll(left.select("b")).distinct().join(sets.select("s", "doc_id"), "s")
-        found = self.docs.join(needed.hint("shuffle_hash"), "doc_id").select("s", "text").mapInArrow(whole, "s long, w array<long>")
-        found = written(found.dropDuplicates(["s"]), "whole")
-        at_a, at_b = found.select(F.col("s").alias("a"), F.col("w").alias("w_a")), found.select(F.col("s").alias("b"), F.col("w").alias("w_b"))
-        return written(left.join(at_a, "a").join(at_b, "b").select("a", "b", "w_a", "w_b").mapInArrow(by_set, "a long, b long"), "links")
+        at_a, at_b = whole.select(F.col("sid").alias("a"), F.col("w").alias("w_a")), whole.select(F.col("sid").alias("b"), F.col("w").alias("w_b"))
+        return written(pairs.join(at_a, "a").join(at_b, "b").select("a", "b", "w_a", "w_b").mapInArrow(check, "a long, b long"), "links")
+
+    def led(self, held: DataFrame, sets: DataFrame) -> DataFrame:
+        """Pairs (a, b): each set and the two it shares most keys with, of those that are the first or the last of a key by name."""
+        meets = held.select("hi", "lo", F.posexplode(F.array("first", "last")).alias("end", "leader")).where("lo <> leader")
+        best = meets.groupBy("hi", "lo", "end", "leader").count().groupBy("hi", "lo", "end").agg(F.max(F.struct("count", "leader")).alias("best"))
+        one = best.select("hi", "lo", F.col("best.leader").alias("leader")).join(sets.drop("id", *_U), ["hi", "lo"]).withColumnRenamed("sid", "a")
+        two = sets.select(F.col("lo").alias("leader"), F.col("sid").alias("b"), F.col("n").alias("m"), *[F.col(c).alias(f"o{c}") for c in _P])
+        return one.join(two, "leader").where(self.alike("n", "m", _P, [f"o{c}" for c in _P])).select("a", "b").distinct()
+
+    def opened(self, held: DataFrame, sets: DataFrame, group: DataFrame) -> DataFrame:
+        """Pairs (a, b) of sets in different groups that the matrix lets through."""
+        of = held.select("key", "hi", "lo").join(sets.select("hi", "lo", "sid"), ["hi", "lo"]).join(group, "sid", "left")
+        of = written(of.select("key", "sid", F.coalesce("component", "sid").alias("own")), "grouped")
+        apart = of.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select("key")
+        of = written(of.join(apart, "key"), "apart")
+
+        level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(self.den / self.num))).cast("int")
+        members = of.select("sid", "own").distinct().join(sets.select("sid", "n", *_P, *_U), "sid").withColumn("level", level)
+        counts = members.groupBy("own", "level").agg(F.count("*").alias("count"))
+        sizes = counts.groupBy("own").agg(F.sum("count").alias("size"))
+        per = counts.join(sizes, "own").select("own", "level", "size", F.ceil(F.col("count") / BLOCK).alias("blocks"))
+        members = members.join(per, ["own", "level"]).withColumn("block", F.xxhash64("own", "level", F.pmod(F.xxhash64("sid"), F.col("blocks"))))
+        members = written(members.drop("level", "blocks"), "members")
+
+        unions = [F.bit_or(c).alias(f"any_{c}") for c in _U] + [F.bit_and(c).alias(f"all_{c}") for c in _U]
+        blocks = members.groupBy("block").agg(F.count("*").alias("sets"), F.min("n").alias("low"), F.max("n").alias("high"), F.first("own").alias("other"), F.first("size").alias("others"), *unions, *[F.first(c).alias(f"o{c}") for c in _P])
+        matrix = of.join(members.select("sid", "block"), "sid").select("key", "block").distinct().join(blocks, "block")
+        query = of.select("key", "sid").join(members.drop("block"), "sid")
+        apart = (F.col("size") < F.col("others")) | ((F.col("size") == F.col("others")) & (F.col("own") < F.col("other")))
+        most = self.most(F.col("n"), F.least("high", F.floor(F.col("n") * self.den / F.lit(self.num))))
+        outside = [F.bit_count(F.col(c).bitwiseAND(F.bitwise_not(f"any_{c}"))) for c in _U] + [F.bit_count(F.col(f"all_{c}").bitwiseAND(F.bitwise_not(c))) for c in _U]
+        bound = self.fits(F.col("n"), F.col("low"), F.col("high")) & (reduce(add, outside) <= most) & ((F.col("sets") > 1) | self.alike("n", "low", _P, [f"o{c}" for c in _P]))
+        hits = query.join(matrix, "key").where(apart & bound).select(F.col("sid").alias("a"), "block").distinct()
+
+        one = members.select(F.col("sid").alias("a"), "n", *_P)
+        two = members.select("block", F.col("sid").alias("b"), F.col("n").alias("m"), *[F.col(c).alias(f"o{c}") for c in _P])
+        return hits.join(one, "a").join(two, "block").where(self.alike("n", "m", _P, [f"o{c}" for c in _P])).select("a", "b")
 
     def run(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every row."""
-        rows = written(self.prefixes(self.frequent()), "prefixes")
-        sets = written(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "sets")
-        each = sets.select("s", "n", F.explode("prefix").alias("w")).repartition("w")
-        shared = written(each.withColumn("of", F.count("*").over(Window.partitionBy("w"))).where("of > 1").drop("of"), "shared")
-
-        # groups: one leader for each set, of those outside its group the one with most numbers in common
-        both = written(shared.withColumn("level", F.explode(F.array(self.level(), self.level() + 1))).drop("n"), "levels")
-        group, links = None, None
-        for turn in range(TURNS):
-            now = both if group is None else both.join(group, "s", "left")
-            now = now.withColumn("own", F.coalesce("component", "s") if group is not None else F.col("s"))
-            first = F.first(F.struct("s", "own")).over(Window.partitionBy("w", "level").orderBy(F.xxhash64("s", F.lit(turn)), "s"))
-            meets = now.withColumn("leader", first).where("own <> leader.own").select("s", F.col("leader.s").alias("leader"))
-            chosen = meets.groupBy("s", "leader").count().groupBy("s").agg(F.max_by("leader", F.struct("count", "leader")).alias("leader"))
-            more = self.checked(chosen.select(F.col("s").alias("a"), F.col("leader").alias("b")), sets)
-            if group is not None and more.isEmpty():
-                break
-            links = more if links is None else links.unionAll(more)
-            group = written(components(links).withColumnRenamed("node", "s"), "groups")
-
-        # the matrix: which numbers the blocks of each group hold
-        of = shared.join(group, "s", "left").withColumn("component", F.coalesce("component", "s")).withColumn("level", self.level())
-        of = written(of.withColumn("block", F.when(F.col("component") != F.col("s"), 1)), "grouped")
-        blocks = of.select("s", "n", "component", "level").distinct()
-        per = blocks.groupBy("component", "level").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-        blocks = written(blocks.join(per, ["component", "level"]).withColumn("block", F.xxhash64("component", "level", F.pmod(F.xxhash64("s"), F.col("blocks")))).drop("blocks"), "blocks")
-        bounds = blocks.groupBy("block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-        matrix = of.select("w", "s").join(blocks.select("s", "component", "level", "block"), "s").select("w", F.col("component").alias("other"), F.col("level").alias("at"), "block").distinct()
-        query = of.select("w", "s", "n", "component", F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)).alias("at"))
-        hits = query.join(matrix, ["w", "at"]).where("component < other").groupBy("s", "n", "block").count().join(bounds, "block")
-        low, high = F.greatest("low", F.floor(F.col("n") * self.num / F.lit(self.den))), F.least("high", F.ceil(F.col("n") * self.den / F.lit(self.num)))
-        kept = lambda m: F.ceil(m * self.num / F.lit(self.den) - 1e-6)
-        # of a set's prefix, or of its partner's, all but so many numbers must be shared
-        needed = F.least(self.least(F.col("n"), low) - kept(F.col("n")), self.least(F.col("n"), high) - kept(high))
-        opened = hits.where((low <= high) & (F.col("count") >= needed)).select(F.col("s").alias("a"), "n", "block")
-        fits = (F.col("n") * self.num <= F.col("n_b") * self.den) & (F.col("n_b") * self.num <= F.col("n") * self.den)
-        pairs = opened.join(blocks.select(F.col("s").alias("b"), F.col("n").alias("n_b"), "block"), "block").where(fits).select("a", "b")
-        more = self.checked(pairs, sets)
-
-        final = components(links.unionAll(more)).withColumnRenamed("node", "s") if not more.isEmpty() else group
-        named = rows.select("doc_id", "s", "n").where("n > 0").join(final, "s", "left").withColumn("component", F.coalesce("component", "s"))
-        named = written(named.select("doc_id", "n", "component"), "named")
-        least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-        linked = named.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-        return linked.unionAll(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+        rows = written(self.rows(), "rows")
+        keys = rows.where("size(keys) > 0").select(F.explode("keys").alias("key"), "hi", "lo")
+        # different sets of one key differ in lo; that two of the few that meet there do not has a chance of 2^-64
+        shared = written(keys.groupBy("key").agg(F.min("lo").alias("first"), F.max("lo").alias("last")).where("first <> last"), "shared")
+        held = written(written(keys.join(shared, "key"), "held").distinct(), "held")
+        every = rows.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", *_P, *_U)])
+        sets = written(every.join(held.select("hi", "lo").distinct(), ["hi", "lo"]).withColumn("sid", F.monotonically_increasing_id()), "sets")
+        repeated = not rows.groupBy("id", "hi", "lo").count().where("count > 1").isEmpty()
+        whole = self.whole(sets, repeated)
+
+        links = self.checked(self.led(held, sets), whole)
+        group = written(components(links).withColumnRenamed("node", "sid"), "groups")
+        more = self.checked(self.opened(held, sets, group), whole)
+        if not more.isEmpty():
+            group = written(components(links.unionAll(more)).withColumnRenamed("node", "sid"), "groups")
+
+        known = sets.select("sid", "hi", "lo").join(group, "sid").select("hi", "lo", "component")
+        named = rows.where("n > 0").select("doc_id", "n", "hi", "lo").join(known, ["hi", "lo"], "left")
+        linked = F.col("component").isNotNull()
+        named = written(named.select("doc_id", "n", *[F.when(linked, 0).otherwise(F.col(c)).alias(c) for c in ("hi", "lo")], F.coalesce("component", F.lit(-1)).alias("of")), "named")
+        least = named.groupBy("of", "hi", "lo").agg(F.min("doc_id").alias("component_id"))
+        out = named.join(least, ["of", "hi", "lo"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+        return out.unionAll(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def op8_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -97,15 +97,27 @@ def linked(texts, n, num, den):
     return [(len(s), to[i]) for i, s in enumerate(sets)]
 
 
-def test_ngram_order():
-    heavy, place = np.array([5, 9]), np.array([1, 0])
-    assert ngram_join.ordered(np.array([1, 5, 9, 11]), heavy, place).tolist() == [1, 11, 1 << 62, (1 << 62) + 1]
-    assert not len(ngram_join.ordered(np.empty(0, np.int64), heavy, place)) and ngram_join.ordered(heavy, heavy[:0], place[:0]).tolist() == [5, 9]
+@pytest.mark.parametrize(("num", "den"), [(85, 100), (80, 100)])
+def test_ngram_keys(num, den):
+    """Sets that link share a key, at the very threshold too and when parts are empty; bits bound their difference."""
+    r = np.random.default_rng(5)
+    parts = ngram_join.Parts(num, den)
+    for size in [*range(1, 60), 100, 333, 1000, 5000]:
+        for m in {size, -(-size * num // den), size * den // num}:
+            both = -(-num * (size + m) // (num + den))  # the least intersection
+            if both > min(size, m):
+                continue
+            pool = np.unique(r.integers(0, 1 << 62, size + m))[r.permutation(size + m)]
+            a, b = np.sort(pool[:size]), np.sort(np.concatenate([pool[:both], pool[size : size + m - both]]))
+            assert len(np.intersect1d(parts.of(a), parts.of(b)))
+            differ = lambda i: int(np.bitwise_count((ngram_join.bits(a)[i] ^ ngram_join.bits(b)[i]).view(np.uint64)).sum())  # noqa: B023, E731
+            assert max(differ(0), differ(1)) <= size + m - 2 * both
 
 
 @pytest.mark.parametrize(("n", "num", "den"), [(4, 85, 100), (5, 80, 100)])
 def test_ngram_join(spark, monkeypatch, n, num, den):
     monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    monkeypatch.setattr(ngram_join, "RECENT", 5)
     r = np.random.default_rng(2)
     texts = list(ODD)
     for _ in range(12):
@@ -117,6 +129,11 @@ def test_ngram_join(spark, monkeypatch, n, num, den):
             texts.append(" ".join(copy))
     out = rows_of(ngram_join.Join(frame(spark, texts), n, num, den).run())
     assert [(out[i]["n_shingles"], out[i]["component_id"]) for i in range(len(texts))] == linked(texts, n, num, den)
+    # null ids, one id with other texts, whole rows twice
+    odd = [(None, texts[-1]), (None, "not seen before in any of these"), (3, texts[-1]), (3, "three has another text here"), (3, texts[-1])]
+    odd = spark.createDataFrame([(i, t) for i, t in [*enumerate(texts), *odd] if i is None or i != 3 or t != texts[3]], "doc_id long, text string")
+    got = Counter((r["doc_id"], r["component_id"]) for r in ngram_join.Join(odd, n, num, den).run().collect())
+    assert got[(None, 3)] == 1 and got[(None, None)] == 1 and got[(3, 3)] == 3  # id 3 is the smallest of the last text's component
     assert not ngram_join.Join(frame(spark, [])).run().count()
 
 
