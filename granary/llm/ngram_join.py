@@ -6,8 +6,9 @@ so sets that link have a part in which they agree and which isn't empty: a key,
 only similar sets share, however frequent each shingle is. (How many parts there are depends on the size, in
 levels; a set has keys for each level that it can meet partners on.)
 
-1. Documents are partitioned into groups of similar ones: each set is held against the smallest and the
-   largest set it shares most keys with. What links makes groups, cut into blocks of at most BLOCK sets.
+1. Documents are partitioned into groups of similar ones: a set's least numbers in BANDS * EACH ranges, EACH at a
+   time, name buckets in which similar sets meet; each set is held against one leader of each of its buckets. What links
+   makes groups (any grouping gives the same links in the end), cut into blocks of at most BLOCK sets.
 2. The matrix (key, block) is read by every set that shares a key with a block of another group. A block
    stores the union of its sets' tokens, and the tokens that all of them have, as BITS_U bits each: tokens of
    the set outside the union, and common ones that it lacks, bound its overlap with any member from above.
@@ -42,6 +43,8 @@ from .common import components, texts, written
 N, NUM, DEN = 4, 85, 100
 #: Sets in a block of a group (any number gives the same links).
 BLOCK = 64
+#: Buckets that a set is in when groups are made, and least numbers that name each.
+BANDS, EACH = 8, 4
 #: Bits of a set's parities, and of the unions.
 BITS_P, BITS_U = 512, 256
 #: Names of sets that a task remembers, so that copies it meets again send no keys; forgetting them costs rows, no result.
@@ -50,7 +53,7 @@ RECENT = 1 << 18
 #: ASCII white space, as a table of bytes; the base of the words' polynomial hash.
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _BASE = 0x9E3779B97F4A7C15
-_P, _U = [f"p{i}" for i in range(BITS_P // 64)], [f"u{i}" for i in range(BITS_U // 64)]
+_P, _U, _B = [f"p{i}" for i in range(BITS_P // 64)], [f"u{i}" for i in range(BITS_U // 64)], [f"b{i}" for i in range(BANDS)]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -101,6 +104,16 @@ def bits(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.packbits(x.astype(np.uint8), bitorder="little").view(np.int64) for x in (counts & 1, held))
 
 
+def bands(w: np.ndarray) -> np.ndarray:
+    """The buckets of a sorted set that isn't empty; where a range has no number, the next one's counts."""
+    at = np.searchsorted(w, np.arange(BANDS * EACH) * ((1 << 62) // (BANDS * EACH)))
+    least = _mixed(w[at % len(w)].astype(np.uint64)).reshape(BANDS, EACH)
+    out = np.arange(BANDS, dtype=np.uint64)
+    for j in range(EACH):
+        out = _mixed(out + np.uint64(1)) + least[:, j]
+    return out.view(np.int64)
+
+
 class Parts:
     """Keys of sets such that two sets with den * intersection >= num * union share one at least."""
 
@@ -148,7 +161,7 @@ class Join:
         self.docs = texts(docs).withColumn("id", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), F.md5("text"))))
 
     def rows(self) -> DataFrame:
-        """(doc_id, id, hi, lo, n, keys, parities, tokens): hi and lo name the set, n is its size."""
+        """(doc_id, id, hi, lo, n, keys, parities, tokens, bands): hi and lo name the set, n is its size."""
         n, parts = self.n, Parts(self.num, self.den)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +174,7 @@ class Join:
                     high.append(own[0])
                     low.append(own[1])
                     size.append(len(w))
-                    flags.append(np.concatenate(bits(w)))
+                    flags.append(np.concatenate([*bits(w), bands(w) if len(w) else np.zeros(BANDS, np.int64)]))
                     keys.append(parts.of(w) if len(w) and own not in recent else w[:0])
                     recent.add(own)
                 if len(recent) > RECENT:
@@ -169,10 +182,10 @@ class Join:
                 flags = np.array(flags, np.int64).reshape(len(size), -1)
                 ends = np.append(0, np.cumsum([len(k) for k in keys])).astype(np.int32)
                 keys = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x, pa.int64()) for x in (high, low, size)), keys, *(pa.array(np.ascontiguousarray(c)) for c in flags.T)], ["doc_id", "id", "hi", "lo", "n", "keys", *_P, *_U])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x, pa.int64()) for x in (high, low, size)), keys, *(pa.array(np.ascontiguousarray(c)) for c in flags.T)], ["doc_id", "id", "hi", "lo", "n", "keys", *_P, *_U, *_B])
 
         kind = self.docs.schema["doc_id"].dataType.simpleString()
-        return self.docs.mapInArrow(scan, f"doc_id {kind}, id string, hi long, lo long, n long, keys array<long>, " + ", ".join(f"{c} long" for c in _P + _U))
+        return self.docs.mapInArrow(scan, f"doc_id {kind}, id string, hi long, lo long, n long, keys array<long>, " + ", ".join(f"{c} long" for c in _P + _U + _B))
 
     def fits(self, n: Column, low: Column, high: Column) -> Column:
         """Whether a set of n numbers can link with one of low to high."""
@@ -218,13 +231,14 @@ class Join:
         at_a, at_b = whole.select(F.col("sid").alias("a"), F.col("w").alias("w_a")), whole.select(F.col("sid").alias("b"), F.col("w").alias("w_b"))
         return written(pairs.join(at_a, "a").join(at_b, "b").select("a", "b", "w_a", "w_b").mapInArrow(check, "a long, b long"), "links")
 
-    def led(self, held: DataFrame, sets: DataFrame) -> DataFrame:
-        """Pairs (a, b): each set and the two it shares most keys with, of those that are the first or the last of a key by name."""
-        meets = held.select("hi", "lo", F.posexplode(F.array("first", "last")).alias("end", "leader")).where("lo <> leader")
-        best = meets.groupBy("hi", "lo", "end", "leader").count().groupBy("hi", "lo", "end").agg(F.max(F.struct("count", "leader")).alias("best"))
-        one = best.select("hi", "lo", F.col("best.leader").alias("leader")).join(sets.drop("id", *_U), ["hi", "lo"]).withColumnRenamed("sid", "a")
-        two = sets.select(F.col("lo").alias("leader"), F.col("sid").alias("b"), F.col("n").alias("m"), *[F.col(c).alias(f"o{c}") for c in _P])
-        return one.join(two, "leader").where(self.alike("n", "m", _P, [f"o{c}" for c in _P])).select("a", "b").distinct()
+    def led(self, sets: DataFrame) -> DataFrame:
+        """Pairs (a, b): each set and the leaders of its buckets, as far as sizes and parities let them link."""
+        each = sets.select("sid", F.explode(F.array(*_B)).alias("band"))
+        least = each.groupBy("band").agg(F.min("sid").alias("leader"), F.max("sid").alias("last")).where("leader < last").select("band", "leader")
+        pairs = each.join(least, "band").where("sid <> leader").select(F.col("sid").alias("a"), F.col("leader").alias("b")).distinct()
+        one = sets.select(F.col("sid").alias("a"), "n", *_P)
+        two = sets.select(F.col("sid").alias("b"), F.col("n").alias("m"), *[F.col(c).alias(f"o{c}") for c in _P])
+        return pairs.join(one, "a").join(two, "b").where(self.alike("n", "m", _P, [f"o{c}" for c in _P])).select("a", "b")
 
     def opened(self, held: DataFrame, sets: DataFrame, group: DataFrame) -> DataFrame:
         """Pairs (a, b) of sets in different groups that the matrix lets through."""
@@ -260,14 +274,14 @@ class Join:
         rows = written(self.rows(), "rows")
         keys = rows.where("size(keys) > 0").select(F.explode("keys").alias("key"), "hi", "lo")
         # different sets of one key differ in lo; that two of the few that meet there do not has a chance of 2^-64
-        shared = written(keys.groupBy("key").agg(F.min("lo").alias("first"), F.max("lo").alias("last")).where("first <> last"), "shared")
+        shared = written(keys.groupBy("key").agg(F.min("lo").alias("first"), F.max("lo").alias("last")).where("first <> last").select("key"), "shared")
         held = written(written(keys.join(shared, "key"), "held").distinct(), "held")
-        every = rows.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", *_P, *_U)])
+        every = rows.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", *_P, *_U, *_B)])
         sets = written(every.join(held.select("hi", "lo").distinct(), ["hi", "lo"]).withColumn("sid", F.monotonically_increasing_id()), "sets")
         repeated = not rows.groupBy("id", "hi", "lo").count().where("count > 1").isEmpty()
         whole = self.whole(sets, repeated)
 
-        links = self.checked(self.led(held, sets), whole)
+        links = self.checked(self.led(sets), whole)
         group = written(components(links).withColumnRenamed("node", "sid"), "groups")
         more = self.checked(self.opened(held, sets, group), whole)
         if not more.isEmpty():
@@ -277,7 +291,7 @@ class Join:
         named = rows.where("n > 0").select("doc_id", "n", "hi", "lo").join(known, ["hi", "lo"], "left")
         linked = F.col("component").isNotNull()
         named = written(named.select("doc_id", "n", *[F.when(linked, 0).otherwise(F.col(c)).alias(c) for c in ("hi", "lo")], F.coalesce("component", F.lit(-1)).alias("of")), "named")
-        least = named.groupBy("of", "hi", "lo").agg(F.min("doc_id").alias("component_id"))
+        least = written(named.groupBy("of", "hi", "lo").agg(F.min("doc_id").alias("component_id")), "least")
         out = named.join(least, ["of", "hi", "lo"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
         return out.unionAll(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
