@@ -10,15 +10,28 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
-
-    Only where the session has no such setting (tests on one machine) a local folder is set."""
+def _base(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="granary-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/granary-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/granary-{spark.sparkContext.applicationId}"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share, and below one of this application.
+
+    Only where the session has no such setting and runs on one machine (tests) a local folder is set; else that is an error."""
+    return f"{_base(spark)}/{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application has written there; results that weren't saved elsewhere can't be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_base(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str = "part") -> DataFrame:
@@ -55,6 +68,27 @@ def ranked(df: DataFrame, by: list[str], order: list[str], weight: Column, name:
     return inner.join(starts, same).withColumn(name, (F.col("_start") + F.col("_inside")).cast("long")).drop("_salt", "_of", "_weight", "_start", "_inside", *[f"_{c}" for c in by])
 
 
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """df with a long column for each of sums: that expression's sum over the rows before, in an order of the whole table.
+
+    Rows are dealt by ranges of the order, which should have no ties; windows go over one range each, and over the
+    ranges' sums, of which there are as many as partitions."""
+    values = {f"_{name}": value for name, value in sums.items()}
+    dealt = written(df.withColumns(values).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before, inside = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (Window.orderBy("_part"), Window.partitionBy("_part").orderBy(*order)))
+    parts = dealt.groupBy("_part").agg(*[F.sum(v).alias(v) for v in values])
+    parts = parts.select("_part", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_start{v}") for v in values])
+    out = dealt.withColumns({f"_in{v}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values}).join(F.broadcast(parts), "_part")
+    return out.select(*df.columns, *[(F.col(f"_start_{name}") + F.col(f"_in_{name}")).cast("long").alias(name) for name in sums])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name.lower() in map(str.lower, df.columns):
+        name = f"_{name}"
+    return name
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable over the edges, for every node that has an edge.
 

@@ -43,6 +43,8 @@ from .common import components, texts, written
 N, NUM, DEN = 4, 85, 100
 #: Sets in a block of a group (any number gives the same links).
 BLOCK = 64
+#: Keys of a set and of a block by which it is told whether they have met already (any number gives the same links).
+EARLY = 16
 #: Buckets that a set is in when groups are made, and least numbers that name each.
 BANDS, EACH = 8, 4
 #: Bits of a set's parities, and of the unions.
@@ -257,13 +259,17 @@ class Join:
 
         unions = [F.bit_or(c).alias(f"any_{c}") for c in _U] + [F.bit_and(c).alias(f"all_{c}") for c in _U]
         blocks = members.groupBy("block").agg(F.count("*").alias("sets"), F.min("n").alias("low"), F.max("n").alias("high"), F.first("own").alias("other"), F.first("size").alias("others"), *unions, *[F.first(c).alias(f"o{c}") for c in _P])
-        matrix = of.join(members.select("sid", "block"), "sid").select("key", "block").distinct().join(blocks, "block")
-        query = of.select("key", "sid").join(members.drop("block"), "sid")
+        # a set meets a block at the first key they share, or at more if that isn't among the first EARLY of both
+        least = F.slice(F.array_sort(F.collect_set("key")), 1, EARLY)  # a set's keys, no more than it has numbers
+        keyed = written(of.join(members.select("sid", "block"), "sid").select("key", "block").distinct(), "keyed")
+        matrix = keyed.join(blocks, "block").join(keyed.groupBy("block").agg(least.alias("early")), "block")
+        query = of.select("key", "sid").join(members.drop("block"), "sid").join(of.groupBy("sid").agg(least.alias("before")), "sid")
+        query = query.withColumn("before", F.filter("before", lambda x: x < F.col("key")))
         apart = (F.col("size") < F.col("others")) | ((F.col("size") == F.col("others")) & (F.col("own") < F.col("other")))
         most = self.most(F.col("n"), F.least("high", F.floor(F.col("n") * self.den / F.lit(self.num))))
         outside = [F.bit_count(F.col(c).bitwiseAND(F.bitwise_not(f"any_{c}"))) for c in _U] + [F.bit_count(F.col(f"all_{c}").bitwiseAND(F.bitwise_not(c))) for c in _U]
         bound = self.fits(F.col("n"), F.col("low"), F.col("high")) & (reduce(add, outside) <= most) & ((F.col("sets") > 1) | self.alike("n", "low", _P, [f"o{c}" for c in _P]))
-        hits = query.join(matrix, "key").where(apart & bound).select(F.col("sid").alias("a"), "block").distinct()
+        hits = query.join(matrix, "key").where(apart & bound & ~F.arrays_overlap("before", "early")).select(F.col("sid").alias("a"), "block").distinct()
 
         one = members.select(F.col("sid").alias("a"), "n", *_P)
         two = members.select("block", F.col("sid").alias("b"), F.col("n").alias("m"), *[F.col(c).alias(f"o{c}") for c in _P])

@@ -99,7 +99,7 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> list[tuple
     """At most `most` labelled texts with their grade, the same in every run."""
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
     graded = labels.where("quality IS NOT NULL AND toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(grade).alias("grade"))
-    # as many of the labels as the sample takes are chosen before texts are read; a share of every grade
+    # as many of the labels as the sample takes are chosen before texts are read; grades come as often as among the labels
     kept = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = texts(docs).join(F.broadcast(kept), "doc_id").select("doc_id", "text", "grade").orderBy("doc_id", "text").limit(most).collect()
     return [(r["text"], r["grade"]) for r in rows]

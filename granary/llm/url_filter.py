@@ -2,13 +2,14 @@
 
 Host names are cut at dots and hyphens into labels; each distinct label is split into words by the best
 sum of unigram log probabilities (Viterbi), the counts being those of the words of all pages' visible
-text. Words of hosts and paths, hashed into a fixed number of features, are scored by naive Bayes fitted
+text (words are runs of letters; those of over LONGEST letters are in no vocabulary, so that longer stretches count
+as unknown). Words of hosts and paths, hashed into a fixed number of features, are scored by naive Bayes fitted
 on all pages that a rule decides. Rules always win; the model decides the rest.
 
 Defined cases: a null url, or one without ://, has an empty host and path and no rule; its verdict is the
 model's for no tokens (the larger class; allow, if equal). Repeated rows each get their verdict; without
 rule-decided pages everything else is allowed; an empty table gives an empty result; only page_id, url
-and html are read.
+and html are read; letters of any script are letters, without regard to case.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
+from .common import written
+
 #: The contract's rules.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: Hashed features of the model, and the longest word that a label is split into.
@@ -46,7 +49,8 @@ def judged_by_rules(host: Column, path: Column, rules=RULES) -> Column:
 def unigrams(pages: DataFrame) -> DataFrame:
     """(word, n) over the visible text of all pages."""
     visible = F.regexp_replace(F.lower(F.coalesce(F.col("html"), F.lit(""))), r"<[^>]*>", " ")
-    return pages.select(F.explode(F.regexp_extract_all(visible, F.lit(r"[a-z]{2,24}"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    each = pages.select(F.explode(F.regexp_extract_all(visible, F.lit(r"\p{L}{2,}"), F.lit(0))).alias("word"))
+    return each.where(F.length("word") <= LONGEST).groupBy("word").agg(F.count("*").alias("n"))
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -85,6 +89,7 @@ def tokens(pages: DataFrame, counts: DataFrame) -> DataFrame:
     words = segmented(hosts.select(F.explode("labels").alias("label")), counts)
     each = hosts.select("host", F.posexplode("labels").alias("at", "label")).join(words, "label")
     by_host = each.groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda x: x["words"])).alias("words"))
+    by_host = written(by_host, "hosts")  # so that a host of many pages can be split in the join
     path = F.transform(F.filter(F.split("path", r"[^A-Za-z0-9]+"), lambda x: x != ""), lambda x: F.concat(F.lit("/"), F.lower(F.regexp_replace(x, "[0-9]+", "0"))))
     all_of = F.concat(F.coalesce("words", F.array().cast("array<string>")), path)
     return pages.join(by_host, "host", "left").withColumn("features", F.transform(all_of, lambda t: F.pmod(F.xxhash64(t), F.lit(FEATURES)).cast("int"))).withColumn("words", all_of)
@@ -108,11 +113,9 @@ def fit(decided: DataFrame) -> tuple[float, np.ndarray]:
 def judge(pages: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict, and the words that hosts and paths were split into, with the
     model's log odds."""
-    from .common import written
-
     host, path = parts(F.col("url"))
     own = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("by_rule", judged_by_rules(F.col("host"), F.col("path")))
-    known = written(tokens(own, unigrams(pages)), "tokens")
+    known = written(tokens(own, written(unigrams(pages), "unigrams")), "tokens")
     prior, weights = fit(known.where("by_rule IS NOT NULL").select("by_rule.verdict", "features"))
 
     @F.pandas_udf(DoubleType())
