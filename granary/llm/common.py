@@ -34,11 +34,25 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Settings of Spark by which the shuffle files of a query go when it has ended, under the names of several versions.
+CLEANED = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.shuffleDependency.fileCleanup.enabled")
+
+
 def written(df: DataFrame, name: str = "part") -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, and survives the loss of executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a table in the shared folder: cuts the lineage, and survives the loss of executors. What was shuffled for it isn't
+    needed any more and is deleted."""
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}"
+    before = {key: spark.conf.get(key, None) for key in CLEANED}
+    try:
+        for key, value in before.items():
+            if value is not None:
+                spark.conf.set(key, "true")
+        df.write.parquet(path)
+    finally:
+        for key, value in before.items():
+            if value is not None:
+                spark.conf.set(key, value)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:

@@ -182,14 +182,15 @@ def rewritten(kind: int, segment: str) -> list[str]:
     return ["00" + " ".join(d), ".".join(d[1:]) if len("".join(d[1:])) > 7 else "".join(d), f"({d[0]}) " + " ".join(d[1:]) if len(d) > 1 else "00" + d[0]]
 
 
-def example(text: str) -> list[tuple[list[float], int, str]]:
-    """(features, label, content) of a document's first nodes, and of each labelled one written otherwise as further mentions."""
+def example(text: str) -> list[tuple[list[float], int, str, bool]]:
+    """(features, label, content, whether it is on the chain) of a document's first nodes, and of each labelled one written
+    otherwise as further mentions, which have no neighbours."""
     own = nodes(text, base(text))[:NODES]
-    out = [(_features(text[s:e]), k, content(text[s:e])) for k, s, e in own]
-    return out + [(_features(x), k, content(x)) for k, s, e in own if k for x in rewritten(k, text[s:e])]
+    out = [(_features(text[s:e]), k, content(text[s:e]), True) for k, s, e in own]
+    return out + [(_features(x), k, content(x), False) for k, s, e in own if k for x in rewritten(k, text[s:e])]
 
 
-def fit(sample: list[list[tuple[list[float], int, str]]], rounds: int = 300, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fit(sample: list[list[tuple[list[float], int, str, bool]]], rounds: int = 500, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(unary weights, chain potentials, skip potentials) by pseudo-likelihood: each label given its neighbours' on the chain
     and over skips. sample: of each document what example() gives."""
     labels = len(KINDS) + 1
@@ -199,7 +200,7 @@ def fit(sample: list[list[tuple[list[float], int, str]]], rounds: int = 300, rat
         at = len(y)
         x += [r[0] for r in rows]
         y += [r[1] for r in rows]
-        edges[0] += [(at + i, at + i + 1) for i in range(len(rows) - 1)]
+        edges[0] += [(at + i, at + i + 1) for i in range(len(rows) - 1) if rows[i + 1][3]]
         edges[1] += [(at + a, at + b) for a, b in _links([r[2] for r in rows])]
     w, tables = np.zeros((FEATURES, labels)), [np.zeros((labels, labels)), np.zeros((labels, labels))]
     if not y:

@@ -371,9 +371,8 @@ def test_pii_base_by_plain_patterns(spark, documents):
         assert [(pii.KINDS[k], s, e) for k, s, e in pii.base(text)] == plain(text), text
 
 
-def test_pii_adds_spans(spark):
+def test_pii_adds_spans(spark, monkeypatch):
     """Other ways to write what a pattern matched elsewhere in the document; decoys stay."""
-    texts = [f"mail a{i}.b@c{i}.org, call +1 (511) 555-{i:04d}. ip 10.{i}.0.{i}, card 4111 1111 1111 1111; number 82948461674568{i:02d}, on 2024-01-{i % 28 + 1:02d}" for i in range(60)]
     asked = [
         ("call +1 (511) 555-6887 now; long after it (511) 555-6887", "phone", "(511) 555-6887"),
         ("mail a.b@c.org, or to a.b@c_org", "email", "a.b@c_org"),
@@ -382,13 +381,18 @@ def test_pii_adds_spans(spark):
         ("number 8294846167456848, again 8294846167456848", None, None),
         ("on 2024-01-02 and 12/12/2024 we had 1234567 of them", None, None),
     ]
-    docs = frame(spark, texts + [a for a, _, _ in asked])
-    out = rows_of(pii.find(docs))
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    model = pii.trained(docs)
+    monkeypatch.setattr(pii, "trained", lambda _: model)
+    own = frame(spark, [a for a, _, _ in asked])
+    out = rows_of(pii.find(own))
     for i, (text, kind, segment) in enumerate(asked):
-        added = [(s["kind"], text[s["start"] : s["end"]]) for s in out[60 + i]["spans"] if s not in out[60 + i]["base"]]
+        added = [(s["kind"], text[s["start"] : s["end"]]) for s in out[i]["spans"] if s not in out[i]["base"]]
         assert added == ([(kind, segment)] if kind else []), text
-    cut = rows_of(pii.redacted(docs))
-    assert cut[60]["text"] == "call [PHONE] now; long after it [PHONE]" and cut[64]["text"] == asked[4][0] and (cut[60]["key"], cut[60]["size"]) == ("y", 2)
+    cut = rows_of(pii.redacted(own))
+    assert cut[0]["text"] == "call [PHONE] now; long after it [PHONE]" and cut[4]["text"] == asked[4][0] and (cut[0]["key"], cut[0]["size"]) == ("y", 2)
+    clean = docs.where("NOT text RLIKE '[0-9@]'")
+    assert not pii.find(clean).where("size(spans) > 0").count()
 
 
 def test_pii_takes_linear_time():
@@ -551,7 +555,8 @@ def test_url_filter_by_brute_force(spark):
         return best[-1][1]
 
     def split(url):
-        host, path = (re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "") or [None, "", ""])[1:3] if "://" in (url or "") else ("", "")
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+        host, path = m.groups() if m else ("", "")
         return host.lower() if host.isascii() else host, path
 
     def rule(host, path):
