@@ -1,7 +1,8 @@
 """Corpus pipeline: documents through five stages, each of them one operator of granary.llm.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; between stages
-rows are Parquet. All but the last return the columns of documents."""
+rows are Parquet. All but the last return the columns of documents, and leave those they don't know as they are,
+whatever their names; an empty table stays empty."""
 
 from pyspark.sql import functions as F
 
@@ -9,7 +10,8 @@ from granary.llm import common, mixing, ngram_join, packing, pii, quality
 
 
 def good(spark, docs, sf_dir):
-    """Documents whose probability of the highest grade is high enough."""
+    """Documents whose probability of the highest grade is high enough; a null text is an empty one, and rows that are the same
+    fare alike. Without labels all stay."""
     return quality.selected(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -18,30 +20,35 @@ def different(spark, docs, sf_dir):
 
     Rows are told apart by all of their columns, not by doc_id: a null doc_id is a document like any other, and
     rows of one doc_id with different texts are different documents. Rows without words link to nothing and all stay."""
-    cells = [F.col(c).cast("string") for c in docs.columns]
-    keyed = docs.withColumn("_row", common.key_of(*[F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in cells]))
-    linked = ngram_join.Join(keyed.select(F.col("_row").alias("doc_id"), "text"), 5, 80, 100).run()
-    rows = common.written(linked.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_component"), (F.col("n_shingles") == 0).alias("_empty")).distinct(), "rows")
-    ids = keyed.select("_row", "doc_id").distinct()
-    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
-    kept = rows.where("NOT _empty").join(ids, "_row").groupBy("_component").agg(least.alias("_least")).select("_least._row", F.lit(False).alias("_empty"))
-    kept = kept.unionAll(rows.where("_empty").select("_row", "_empty"))
-    each = F.when(F.col("_empty"), F.monotonically_increasing_id())
-    return keyed.join(kept, "_row").withColumn("_each", each).dropDuplicates(["_row", "_each"]).select(*docs.columns)
+    row, component, empty, each = (common.fresh(docs, c) for c in ("_row", "_component", "_empty", "_each"))
+    cells = [F.col(f"`{c}`").cast("string") for c in docs.columns]
+    keyed = docs.withColumn(row, F.sha2(F.concat(*[F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in cells]), 256))
+    linked = ngram_join.Join(keyed.select(F.col(row).alias("doc_id"), "text"), 5, 80, 100).run()
+    rows = common.written(linked.select(F.col("doc_id").alias(row), F.col("component_id").alias(component), (F.col("n_shingles") == 0).alias(empty)).distinct(), "rows")
+    ids = keyed.select(row, "doc_id").distinct()
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col(row))).alias("least")
+    kept = rows.where(~F.col(empty)).join(ids, row).groupBy(component).agg(least).select(F.col("least")[row].alias(row), F.lit(False).alias(empty))
+    kept = common.written(kept.unionAll(rows.where(empty).select(row, empty)), "kept")
+    found = keyed.join(kept, row)
+    if linked.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return found.select(*docs.columns)
+    # rows that are the same in all columns: one of them, but all of those without words
+    return found.withColumn(each, F.when(F.col(empty), F.monotonically_increasing_id())).dropDuplicates([row, each]).select(*docs.columns)
 
 
 def private(spark, docs, sf_dir):
-    """Personal data replaced by its kind."""
+    """Personal data replaced by its kind; a null text stays null."""
     return pii.redacted(docs)
 
 
 def mixed(spark, docs, sf_dir):
-    """Documents as often as the mix takes them; where it takes a part, that part's words."""
+    """Documents as often as the mix takes them; where it takes a part, the text up to that word. A null source is a source of its
+    own; documents without words are never taken."""
     return mixing.applied(docs)
 
 
 def packed(spark, docs, sf_dir):
-    """Pieces with their places in sequences."""
+    """Pieces with their places in sequences; a null text is one piece, the end mark."""
     return packing.packed(packing.pieces(docs))
 
 
