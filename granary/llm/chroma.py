@@ -134,8 +134,8 @@ def fingerprints(recordings: DataFrame) -> DataFrame:
 def choices(frames: DataFrame) -> DataFrame:
     """KEYS rows for each of frames: (part, bits), the integer with all but the bits of a choice cleared, instead of h."""
     masks = [sum({1 << ((2 * k + 1) * i + 5 * k) % 32 for i in range(WIDTH)}) for k in range(KEYS)]
-    whole = F.col("h").cast("long").bitwiseAND(0xFFFFFFFF)
-    return frames.select("*", F.posexplode(F.array(*[whole.bitwiseAND(m) for m in masks])).alias("part", "bits")).drop("h")
+    signed = lambda m: m - (1 << 32) if m >> 31 else m
+    return frames.select("*", F.posexplode(F.array(*[F.col("h").bitwiseAND(F.lit(signed(m)).cast("int")) for m in masks])).alias("part", "bits")).withColumn("bits", F.col("bits").cast("int")).drop("h")
 
 
 def aligned(fps: DataFrame, every: int = EVERY) -> DataFrame:
@@ -143,14 +143,15 @@ def aligned(fps: DataFrame, every: int = EVERY) -> DataFrame:
     fps = written(fps.where("rec_id IS NOT NULL").withColumn("class", key_of(F.concat_ws(",", F.col("fp").cast("array<string>")))), "fps")
     least = fps.groupBy("class").agg(F.min("rec_id").alias("first"), F.count("*").alias("n"), F.first("fp").alias("fp"))
     second = fps.join(least.select("class", "first"), "class").where("rec_id > first").groupBy("class").agg(F.min("rec_id").alias("second"))
-    classes = written(least.join(second, "class", "left"), "classes")
+    classes = written(least.join(second, "class", "left").withColumn("cid", F.monotonically_increasing_id()), "classes")
     asked = written(fps.where(F.col("rec_id") % every == 0).dropDuplicates(["rec_id"]).select(F.col("rec_id").alias("query_id"), F.col("class").alias("own"), F.col("fp").alias("query")), "asked")
-    lone = (F.col("own") == F.col("class")) & (F.col("n") == 1)
-    index = choices(classes.select("class", "n", F.size("fp").alias("size"), F.posexplode("fp").alias("at", "h")))
-    wanted = choices(asked.select("query_id", "own", F.size("query").alias("q_size"), F.posexplode("query").alias("q_at", "h")))
+    # rows of the index are kept small: there are KEYS for each frame of each class
+    index = choices(classes.select("cid", F.size("fp").alias("size"), F.posexplode("fp").alias("at", "h")))
+    wanted = choices(asked.select("query_id", F.size("query").alias("q_size"), F.posexplode("query").alias("q_at", "h")))
     low, high = F.greatest(F.lit(0), -F.col("offset")), F.least(F.col("q_size"), F.col("size") - F.col("offset"))
-    hits = wanted.join(index, ["part", "bits"]).where(~lone).withColumn("offset", F.col("at") - F.col("q_at")).where(high - low >= F.least("q_size", "size") * OVERLAP)
-    both = hits.select("query_id", "class", "offset").distinct().join(asked, "query_id").join(classes, "class").withColumn("q_size", F.size("query")).withColumn("size", F.size("fp"))
+    hits = wanted.join(index, ["part", "bits"]).withColumn("offset", F.col("at") - F.col("q_at")).where(high - low >= F.least("q_size", "size") * OVERLAP)
+    both = hits.select("query_id", "cid", "offset").distinct().join(asked, "query_id").join(classes, "cid").where((F.col("own") != F.col("class")) | (F.col("n") > 1))
+    both = both.withColumn("q_size", F.size("query")).withColumn("size", F.size("fp"))
     differ = lambda i: F.get("query", i).bitwiseXOR(F.get("fp", i + F.col("offset"))).cast("long").bitwiseAND(0xFFFFFFFF)  # noqa: E731 (bit_count takes 64 bits, with the sign)
     bits = F.aggregate(F.sequence(low, high - 1), F.lit(0), lambda n, i: n + F.bit_count(differ(i)))
     both = both.withColumn("errors", bits / ((high - low) * 32.0)).where(F.col("errors") <= ERRORS)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,23 +28,48 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share, and below one of this application.
 
     Only where the session has no such setting and runs on one machine (tests) a local folder is set; else that is an error."""
-    return f"{_base(spark)}/{uuid.uuid4().hex}"
+    return f"{_scratch.get() or _base(spark)}/{uuid.uuid4().hex}"
+
+
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is written within, unless it is to be kept, is deleted at the end: results must have been written by then."""
+    path = shared_dir(spark)
+    token = _scratch.set(path)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        _delete(spark, path)
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes a written table that nothing reads any more."""
+    _delete(df.sparkSession, df.written_to)
 
 
 def clear(spark: SparkSession) -> None:
     """Deletes all that this application has written there; results that weren't saved elsewhere can't be read any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_base(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _base(spark))
 
 
 #: Settings of Spark by which the shuffle files of a query go when it has ended, under the names of several versions.
 CLEANED = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.shuffleDependency.fileCleanup.enabled")
 
 
-def written(df: DataFrame, name: str = "part") -> DataFrame:
+def written(df: DataFrame, name: str = "part", keep: bool = False) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, and survives the loss of executors. What was shuffled for it isn't
-    needed any more and is deleted."""
-    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}"
+    needed any more and is deleted. keep: outside of a scratch() that it is written in."""
+    spark = df.sparkSession
+    path = f"{_base(spark)}/{uuid.uuid4().hex}/{name}" if keep else f"{shared_dir(spark)}/{name}"
     before = {key: spark.conf.get(key, None) for key in CLEANED}
     try:
         for key, value in before.items():
@@ -52,7 +80,9 @@ def written(df: DataFrame, name: str = "part") -> DataFrame:
         for key, value in before.items():
             if value is not None:
                 spark.conf.set(key, value)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:

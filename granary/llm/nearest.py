@@ -119,8 +119,15 @@ def incremental(ids: np.ndarray, v: np.ndarray, p: np.ndarray, asked: np.ndarray
             rows, own = live[at == leaf], leaves[leaf]
             near = p2[own] + qp2[rows, None] - 2 * (qp[rows] @ p[own].T) <= limit[at == leaf, None] + 1e-9
             near &= ids[own] != asked[rows, None]
-            i, j = np.nonzero(near)
             verified[rows] += near.sum(1)
+            # of the products those that can get among the k best are taken once more, each in the same way wherever it stands
+            least = np.maximum(worst[rows], score[rows, k - 1]) - 1e-9 * reach[rows]
+            near &= q[rows] @ v[own].T >= least[:, None]
+            better = near.any(1)
+            if not better.any():
+                continue
+            rows, near = rows[better], near[better]
+            i, j = np.nonzero(near)
             s = np.full(near.shape, -np.inf)
             s[i, j] = np.einsum("ij,ij->i", q[rows[i]], v[own[j]])
             s[s < worst[rows, None]] = -np.inf

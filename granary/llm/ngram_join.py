@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, texts, written
+from .common import components, forget, texts, written
 
 #: The contract's measure: shingles of N words; a link when DEN * intersection >= NUM * union.
 N, NUM, DEN = 4, 85, 100
@@ -277,11 +277,15 @@ class Join:
 
     def run(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every row."""
-        rows = written(self.rows(), "rows")
+        rows = written(self.rows(), "keys")
         keys = rows.where("size(keys) > 0").select(F.explode("keys").alias("key"), "hi", "lo")
         # different sets of one key differ in lo; that two of the few that meet there do not has a chance of 2^-64
         shared = written(keys.groupBy("key").agg(F.min("lo").alias("first"), F.max("lo").alias("last")).where("first <> last").select("key"), "shared")
-        held = written(written(keys.join(shared, "key"), "held").distinct(), "held")
+        every = written(keys.join(shared, "key"), "held")
+        held = written(every.distinct(), "held")
+        with_keys, rows = rows, written(rows.drop("keys"), "rows")
+        for done in (with_keys, shared, every):
+            forget(done)
         every = rows.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", *_P, *_U, *_B)])
         sets = written(every.join(held.select("hi", "lo").distinct(), ["hi", "lo"]).withColumn("sid", F.monotonically_increasing_id()), "sets")
         repeated = not rows.groupBy("id", "hi", "lo").count().where("count > 1").isEmpty()
