@@ -20,20 +20,20 @@ def different(spark, docs, sf_dir):
 
     Rows are told apart by all of their columns, not by doc_id: a null doc_id is a document like any other, and
     rows of one doc_id with different texts are different documents. Rows without words link to nothing and all stay."""
-    row, component, empty, each = (common.fresh(docs, c) for c in ("_row", "_component", "_empty", "_each"))
+    row, component, empty, n = (common.fresh(docs, c) for c in ("_row", "_component", "_empty", "_n"))
     cells = [F.col(f"`{c}`").cast("string") for c in docs.columns]
     keyed = docs.withColumn(row, F.sha2(F.concat(*[F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in cells]), 256))
-    linked = ngram_join.Join(keyed.select(F.col(row).alias("doc_id"), "text"), 5, 80, 100).run()
-    rows = common.written(linked.select(F.col("doc_id").alias(row), F.col("component_id").alias(component), (F.col("n_shingles") == 0).alias(empty)).distinct(), "rows")
+    with common.scratch(spark):
+        linked = ngram_join.Join(keyed.select(F.col(row).alias("doc_id"), "text"), 5, 80, 100).run()
+        linked = linked.groupBy(F.col("doc_id").alias(row), F.col("component_id").alias(component), (F.col("n_shingles") == 0).alias(empty)).agg(F.count("*").alias(n))
+        rows = common.written(linked, "rows", keep=True)
     ids = keyed.select(row, "doc_id").distinct()
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col(row))).alias("least")
-    kept = rows.where(~F.col(empty)).join(ids, row).groupBy(component).agg(least).select(F.col("least")[row].alias(row), F.lit(False).alias(empty))
-    kept = common.written(kept.unionAll(rows.where(empty).select(row, empty)), "kept")
-    found = keyed.join(kept, row)
-    if linked.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return found.select(*docs.columns)
-    # rows that are the same in all columns: one of them, but all of those without words
-    return found.withColumn(each, F.when(F.col(empty), F.monotonically_increasing_id())).dropDuplicates([row, each]).select(*docs.columns)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col(row), F.col(n))).alias("least")
+    kept = rows.where(~F.col(empty)).join(ids, row).groupBy(component).agg(least).select(F.col("least")[row].alias(row), F.col("least")[n].alias(n))
+    kept = common.written(kept.unionAll(rows.where(empty).select(row, F.lit(1).cast("long").alias(n))), "kept")  # those without words all stay
+    out = keyed.join(kept.where(F.col(n) == 1), row).select(*docs.columns)
+    again = kept.where(F.col(n) > 1)  # rows that are the same in all columns: one of them
+    return out if again.isEmpty() else out.unionAll(keyed.join(again, row).dropDuplicates([row]).select(*docs.columns))
 
 
 def private(spark, docs, sf_dir):
