@@ -116,6 +116,23 @@ def bands(w: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def wide(w: np.ndarray) -> bytes:
+    """A set's parities in at least two bits for each number; half of them, put over the other half, are those of half as many bits."""
+    size = max(64, 1 << (2 * len(w) - 1).bit_length())
+    counts = np.bincount((_mixed(w.astype(np.uint64)) & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """Numbers in which two sets differ at least, by what wide() gives of them."""
+    x, y = (np.frombuffer(v, np.uint64) for v in (a, b))
+    if len(x) > len(y):
+        x, y = y, x
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 class Parts:
     """Keys of sets such that two sets with den * intersection >= num * union share one at least."""
 
@@ -203,7 +220,7 @@ class Join:
         return self.fits(F.col(n), F.col(m), F.col(m)) & (differ <= self.most(F.col(n), F.col(m)))
 
     def whole(self, sets: DataFrame, repeated: bool) -> DataFrame:
-        """(sid, w): the whole sets."""
+        """(sid, w, wide): the whole sets, and their parities."""
         n = self.n
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,15 +228,25 @@ class Join:
                 ids, high, low = (batch.column(c).to_pylist() for c in (0, 1, 2))
                 made = [shingles(t, n) for t in batch.column(3).to_pylist()]
                 own = [i for i, w in enumerate(made) if name(w) == (high[i], low[i])]  # a doc_id may have other texts
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in own], pa.int64()), pa.array([made[i] for i in own], pa.list_(pa.int64()))], ["sid", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in own], pa.int64()), pa.array([made[i] for i in own], pa.list_(pa.int64())), pa.array([wide(made[i]) for i in own], pa.binary())], ["sid", "w", "wide"])
 
-        out = self.docs.join(sets.select("sid", "hi", "lo", "id").hint("shuffle_hash"), "id").select("sid", "hi", "lo", "text").mapInArrow(scan, "sid long, w array<long>")
+        out = self.docs.join(sets.select("sid", "hi", "lo", "id").hint("shuffle_hash"), "id").select("sid", "hi", "lo", "text").mapInArrow(scan, "sid long, w array<long>, wide binary")
         return written(out.dropDuplicates(["sid"]) if repeated else out, "whole")
 
     def checked(self, pairs: DataFrame, whole: DataFrame) -> DataFrame:
-        """Of the pairs (a, b) of sets those that link."""
+        """Of the pairs (a, b) of sets those that link: first by parities, a small part of a set's size, then by whole sets."""
         num, den = self.num, self.den
 
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                a, b, n, m, p, q = (batch.column(i).to_pylist() for i in range(6))
+                ok = [(num + den) * apart(x, y) <= (den - num) * (i + j) for i, j, x, y in zip(n, m, p, q, strict=True)]
+                yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+
+        small = lambda s, n, p: whole.select(F.col("sid").alias(s), F.size("w").cast("long").alias(n), F.col("wide").alias(p))
+        pairs = pairs.join(small("a", "n", "p"), "a").join(small("b", "m", "q"), "b").select("a", "b", "n", "m", "p", "q")
+        pairs = written(pairs.mapInArrow(near, "a long, b long"), "near")
+
         def arrays(batch: pa.RecordBatch, at: int) -> list[np.ndarray]:
             column = batch.column(at)
             ends, values = column.offsets.to_numpy(), column.values.to_numpy()

@@ -115,7 +115,7 @@ def test_ngram_keys(num, den):
             a, b = np.sort(pool[:size]), np.sort(np.concatenate([pool[:both], pool[size : size + m - both]]))
             assert len(np.intersect1d(parts.of(a), parts.of(b)))
             differ = lambda i: int(np.bitwise_count((ngram_join.bits(a)[i] ^ ngram_join.bits(b)[i]).view(np.uint64)).sum())  # noqa: B023, E731
-            assert max(differ(0), differ(1)) <= size + m - 2 * both
+            assert max(differ(0), differ(1), ngram_join.apart(ngram_join.wide(a), ngram_join.wide(b))) <= size + m - 2 * both
 
 
 @pytest.mark.parametrize(("n", "num", "den"), [(4, 85, 100), (5, 80, 100)])
