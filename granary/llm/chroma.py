@@ -39,8 +39,8 @@ FILTERS = [(i % 4, 5 * i % 9, 2 + i % 2 * 2, 4 + i % 3 * 4) for i in range(16)]
 EDGES = (-0.3, 0.0, 0.3)
 #: Choices of bits by which candidates are found, and bits of each: the i-th bit of choice k is bit ((2 k + 1) i + 5 k) mod 32.
 KEYS, WIDTH = 6, 22
-#: Recordings of one length that are transformed at a time.
-AT_ONCE = 64
+#: Recordings of one length that are rendered or transformed at a time.
+AT_ONCE = 32
 
 
 def recordings(vectors: DataFrame) -> DataFrame:
@@ -55,13 +55,15 @@ def recordings(vectors: DataFrame) -> DataFrame:
             for i, v in enumerate(batch.column(1).to_pylist()):
                 if v:
                     same.setdefault(len(v), []).append((i, [0.0 if c is None else c for c in v]))
-            for size, held in same.items():
-                x = np.abs(np.nan_to_num(np.array([v for _, v in held]), posinf=0.0, neginf=0.0))
-                loud = x[:, (7 * np.arange(STEPS)[:, None] + 5 * np.arange(12)) % size]
-                sound = (loud @ tones).reshape(len(held), -1)
-                sound = (sound / np.maximum(np.abs(sound).max(1, keepdims=True), 1e-9) * 30000).astype("<i2")
-                for (i, _), s in zip(held, sound, strict=True):
-                    out[i] = s.tobytes()
+            for size, every in same.items():
+                for at in range(0, len(every), AT_ONCE):
+                    held = every[at : at + AT_ONCE]
+                    x = np.abs(np.nan_to_num(np.array([v for _, v in held]), posinf=0.0, neginf=0.0))
+                    loud = x[:, (7 * np.arange(STEPS)[:, None] + 5 * np.arange(12)) % size]
+                    sound = (loud @ tones).reshape(len(held), -1)
+                    sound = (sound / np.maximum(np.abs(sound).max(1, keepdims=True), 1e-9) * 30000).astype("<i2")
+                    for (i, _), s in zip(held, sound, strict=True):
+                        out[i] = s.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["rec_id", "audio"])
 
     return vectors.select("vec_id", F.col("embedding").cast("array<double>")).mapInArrow(render, "rec_id long, audio binary")
