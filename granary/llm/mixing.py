@@ -6,8 +6,8 @@ documents make when laid end to end, up to MOST times over. All blocks of all so
 (the last of a source may run out), so how many slots fall to a source decides what the mix takes of it.
 DataFrame functions only.
 
-How near targets come: of n golden-ratio points an interval of share p gets n * p within a few (under 3 for every source
-of the test data), so words taken are within as many blocks of the target, of which there are about SLOTS or more.
+How near targets come: of n golden-ratio points an interval of share p gets n * p within a few (the tests ask for at most
+4), so words taken are within as many blocks of the target, of which there are about SLOTS or more.
 
 Defined cases: a null text has no words; a null source is a source of its own, last in order; documents without
 words are never taken (0); a source that no point falls to gets one slot; an empty table gives an empty result; repeated
