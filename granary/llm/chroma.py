@@ -12,7 +12,9 @@ The test tables have no sound: recordings() renders every row of embeddings as S
 as loud as the vector's components, so that like vectors sound alike.
 
 Queries are the recordings with an id divisible by EVERY, against all. Recordings of equal fingerprints are
-one class in the index; a common key meets classes, not recordings.
+one class. Classes of one size are dealt by that of their integers which most classes have, and in blocks; so are
+queries. Near copies have it in common, so blocks meet by keys, each key once for a block, and what meets is judged
+recording by recording within the task: a group of near copies costs a join's rows for its blocks, not for its pairs.
 
 Defined cases: a null, empty or too short recording has no integers and matches nothing; a null vector has a
 null recording; repeated rows are recordings of their own; ties go to the smaller id or offset; an empty
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import key_of, written
@@ -39,8 +41,13 @@ FILTERS = [(i % 4, 5 * i % 9, 2 + i % 2 * 2, 4 + i % 3 * 4) for i in range(16)]
 EDGES = (-0.3, 0.0, 0.3)
 #: Choices of bits by which candidates are found, and bits of each: the i-th bit of choice k is bit ((2 k + 1) i + 5 k) mod 32.
 KEYS, WIDTH = 6, 22
+MASKS = [sum({1 << ((2 * k + 1) * i + 5 * k) % 32 for i in range(WIDTH)}) for k in range(KEYS)]
 #: Recordings of one length that are rendered or transformed at a time.
 AT_ONCE = 32
+#: Integers of a block, about: of classes or queries that are met and judged together. No result depends on it.
+BLOCK = 4096
+#: Instead of an id that there isn't.
+NONE = -(1 << 63)
 
 
 def recordings(vectors: DataFrame) -> DataFrame:
@@ -133,11 +140,94 @@ def fingerprints(recordings: DataFrame) -> DataFrame:
     return recordings.select("rec_id", "audio").mapInArrow(scan, "rec_id long, fp array<int>")
 
 
-def choices(frames: DataFrame) -> DataFrame:
-    """KEYS rows for each of frames: (part, bits), the integer with all but the bits of a choice cleared, instead of h."""
-    masks = [sum({1 << ((2 * k + 1) * i + 5 * k) % 32 for i in range(WIDTH)}) for k in range(KEYS)]
-    signed = lambda m: m - (1 << 32) if m >> 31 else m
-    return frames.select("*", F.posexplode(F.array(*[F.col("h").bitwiseAND(F.lit(signed(m)).cast("int")) for m in masks])).alias("part", "bits")).withColumn("bits", F.col("bits").cast("int")).drop("h")
+def postings(blocks: DataFrame) -> DataFrame:
+    """(block, size, part, bits, at): the integers of a block at each frame with all but the bits of a choice cleared, each once."""
+
+    def packed(mask: int) -> Column:  # frame and bits in a long, so that equal ones are found by hash
+        own = lambda h, i: F.shiftleft(i.cast("long"), 32).bitwiseOR(h.cast("long").bitwiseAND(mask))
+        return F.array_distinct(F.flatten(F.transform("members.fp", lambda fp: F.transform(fp, own))))
+
+    parts = blocks.select("block", "size", F.posexplode(F.array(*[packed(m) for m in MASKS])).alias("part", "packed"))
+    return parts.select("block", "size", "part", F.explode("packed").alias("p")).select("block", "size", "part", F.col("p").bitwiseAND(0xFFFFFFFF).alias("bits"), F.shiftright("p", 32).cast("int").alias("at"))
+
+
+def dealt(rows: DataFrame, name: str) -> DataFrame:
+    """(block, size, members): the structs `m` of rows with one size and lead, about BLOCK integers at a time."""
+    hot = rows.groupBy("size", "lead").agg(F.count("*").alias("n")).select("size", "lead", F.ceil(F.col("n") * F.col("size") / BLOCK).alias("parts")).where("parts > 1")
+    split = rows.join(hot, ["size", "lead"], "left").withColumn("split", F.pmod(F.xxhash64("m.id"), F.coalesce("parts", F.lit(1))))
+    blocks = split.groupBy("size", "lead", "split").agg(F.collect_list("m").alias("members"))
+    return written(blocks.select(F.monotonically_increasing_id().alias("block"), "size", "members"), name)
+
+
+def leads(classes: DataFrame) -> DataFrame:
+    """(class, lead): of the class's integers in the first choice of bits the one that most classes have."""
+    own = classes.select("class", F.explode(F.array_distinct(F.transform("fp", lambda h: h.cast("long").bitwiseAND(MASKS[0])))).alias("bits"))
+    common = own.join(own.groupBy("bits").agg(F.count("*").alias("n")), "bits")
+    return common.groupBy("class").agg(F.max(F.struct("n", F.xxhash64("bits"), "bits")).alias("most")).select("class", F.col("most.bits").alias("lead"))
+
+
+def judged(pairs: DataFrame) -> DataFrame:
+    """(query_id, matches, errors, other, offset): of every query in a block the matches in another block, and the best of them."""
+    masks = np.array(MASKS, np.uint32)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            row = {name: batch.column(name) for name in batch.schema.names}
+            for i in range(batch.num_rows):
+                held.append({name: column[i] for name, column in row.items()})
+                size += len(held[-1]["fps"].values) + len(held[-1]["queries"].values)
+                if size > AT_ONCE * BLOCK:
+                    yield found(held)
+                    held, size = [], 0
+            if held:
+                yield found(held)
+
+    def found(rows: list[dict]) -> pa.RecordBatch:
+        flat = {name: [r[name].values for r in rows] for name in ("ids", "owns", "queries", "classes", "n", "first", "second", "fps")}
+        ids, n, first, second = (np.concatenate([x.to_numpy(zero_copy_only=False) for x in flat[name]]) for name in ("ids", "n", "first", "second"))
+        owns, classes = (np.array([v for x in flat[name] for v in x.to_pylist()], object) for name in ("owns", "classes"))
+        meet: dict[tuple[int, int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        q_ints, c_ints = (np.concatenate([x.to_numpy(zero_copy_only=False) for x in flat[name]]).view(np.uint32) for name in ("queries", "fps"))
+        q_starts, c_starts = (np.concatenate([[0], np.repeat([r[size].as_py() for r in rows], [len(x) for x in flat[of]]).cumsum()]) for size, of in (("q_size", "ids"), ("size", "n")))
+        q_at = c_at = 0
+        for r, own, other in zip(rows, flat["ids"], flat["n"], strict=True):
+            q, c = np.arange(q_at, q_at + len(own)), np.arange(c_at, c_at + len(other))
+            q_at, c_at = q_at + len(own), c_at + len(other)
+            both = np.repeat(q, len(c)), np.tile(c, len(q))
+            for offset in r["offsets"].as_py():
+                meet.setdefault((r["q_size"].as_py(), r["size"].as_py(), offset), []).append(both)
+        hits = []
+        for (q_size, size, offset), some in meet.items():
+            low, high = max(0, -offset), min(q_size, size - offset)
+            along = np.arange(low, high)
+            q, c = (np.concatenate(x) for x in zip(*some, strict=True))
+            step = max(1, (1 << 18) // (high - low))
+            for at in range(0, len(q), step):
+                a, b = q[at : at + step], c[at : at + step]
+                x = q_ints[q_starts[a][:, None] + along] ^ c_ints[c_starts[b][:, None] + along + offset]
+                met = np.zeros(x.shape, bool)
+                for m in masks:
+                    met |= (x & m) == 0
+                met = met.any(1)
+                a, b, x = a[met], b[met], x[met]
+                errors = np.bitwise_count(x).sum(1) / ((high - low) * 32.0)
+                met = (errors <= ERRORS) & ((owns[a] != classes[b]) | (n[b] > 1))
+                hits.append((a[met], b[met], errors[met], np.full(met.sum(), offset)))
+        q, c, errors, offset = (np.concatenate(x) for x in zip(*hits, strict=True))
+        # the best offset of each pair, then the best pair of each query
+        order = np.lexsort((offset, errors, c, q))
+        order = order[np.append(True, np.diff(q[order]).astype(bool) | np.diff(c[order]).astype(bool))[: len(order)]]
+        q, c, errors, offset = q[order], c[order], errors[order], offset[order]
+        others = n[c] - (owns[q] == classes[c])
+        other = np.where(first[c] == ids[q], second[c], first[c])
+        order = np.lexsort((offset, other, errors, q))
+        begins = np.flatnonzero(np.append(True, np.diff(q[order]).astype(bool))[: len(order)])
+        best = order[begins]
+        matches = np.add.reduceat(others[order].astype(np.int64), begins) if len(begins) else np.empty(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(ids[q[best]], pa.int64()), pa.array(matches, pa.int64()), pa.array(errors[best], pa.float64()), pa.array(other[best].astype(np.int64), pa.int64()), pa.array(offset[best].astype(np.int32), pa.int32())], ["query_id", "matches", "errors", "other", "offset"])
+
+    return pairs.mapInArrow(judge, "query_id long, matches long, errors double, other long, offset int")
 
 
 def aligned(fps: DataFrame, every: int = EVERY) -> DataFrame:
@@ -145,25 +235,23 @@ def aligned(fps: DataFrame, every: int = EVERY) -> DataFrame:
     fps = written(fps.where("rec_id IS NOT NULL").withColumn("class", key_of(F.concat_ws(",", F.col("fp").cast("array<string>")))), "fps")
     least = fps.groupBy("class").agg(F.min("rec_id").alias("first"), F.count("*").alias("n"), F.first("fp").alias("fp"))
     second = fps.join(least.select("class", "first"), "class").where("rec_id > first").groupBy("class").agg(F.min("rec_id").alias("second"))
-    classes = written(least.join(second, "class", "left").withColumn("cid", F.monotonically_increasing_id()), "classes")
-    asked = written(fps.where(F.col("rec_id") % every == 0).dropDuplicates(["rec_id"]).select(F.col("rec_id").alias("query_id"), F.col("class").alias("own"), F.col("fp").alias("query")), "asked")
-    # rows of the index are kept small: there are KEYS for each frame of each class
-    index = choices(classes.select("cid", F.size("fp").alias("size"), F.posexplode("fp").alias("at", "h")))
-    wanted = choices(asked.select("query_id", F.size("query").alias("q_size"), F.posexplode("query").alias("q_at", "h")))
+    classes = written(least.join(second, "class", "left").withColumn("size", F.size("fp")).where("size > 0"), "classes")
+    asked = written(fps.where(F.col("rec_id") % every == 0).dropDuplicates(["rec_id"]).select(F.col("rec_id").alias("query_id"), "class", F.col("fp")), "asked")
+    lead = written(leads(classes), "leads")
+    index = dealt(classes.join(lead, "class").select("size", "lead", F.struct(F.col("class").alias("id"), "n", "first", F.coalesce("second", F.lit(NONE)).alias("second"), "fp").alias("m")), "index")
+    wanted = dealt(asked.join(lead, "class").select(F.size("fp").alias("size"), "lead", F.struct(F.col("query_id").alias("id"), F.col("class").alias("own"), "fp").alias("m")), "wanted")
     low, high = F.greatest(F.lit(0), -F.col("offset")), F.least(F.col("q_size"), F.col("size") - F.col("offset"))
-    hits = wanted.join(index, ["part", "bits"]).withColumn("offset", F.col("at") - F.col("q_at")).where(high - low >= F.least("q_size", "size") * OVERLAP)
-    both = hits.select("query_id", "cid", "offset").distinct().join(asked, "query_id").join(classes, "cid").where((F.col("own") != F.col("class")) | (F.col("n") > 1))
-    both = both.withColumn("q_size", F.size("query")).withColumn("size", F.size("fp"))
-    differ = lambda i: F.get("query", i).bitwiseXOR(F.get("fp", i + F.col("offset"))).cast("long").bitwiseAND(0xFFFFFFFF)  # noqa: E731 (bit_count takes 64 bits, with the sign)
-    bits = F.aggregate(F.sequence(low, high - 1), F.lit(0), lambda n, i: n + F.bit_count(differ(i)))
-    both = both.withColumn("errors", bits / ((high - low) * 32.0)).where(F.col("errors") <= ERRORS)
-    best = both.groupBy("query_id", "class").agg(F.min(F.struct("errors", "offset")).alias("best")).select("query_id", "class", "best.errors", "best.offset")
-    both = best.join(asked.select("query_id", "own"), "query_id").join(classes.drop("fp"), "class")
-    others = F.col("n") - F.when(F.col("own") == F.col("class"), 1).otherwise(0)
-    other = F.when(F.col("first") == F.col("query_id"), F.col("second")).otherwise(F.col("first"))
-    matched = both.withColumn("others", others).withColumn("other", other)
-    per = matched.groupBy("query_id").agg(F.sum("others").alias("matches"), F.min(F.struct("errors", "other", "offset")).alias("best"))
-    return asked.select("query_id").join(per, "query_id", "left").select("query_id", F.coalesce("matches", F.lit(0)).cast("long").alias("matches"), F.col("best.other").alias("best_id"), F.col("best.offset").alias("best_offset"), F.round("best.errors", 6).alias("best_errors"))
+    hits = postings(wanted).withColumnsRenamed({"block": "q_block", "size": "q_size", "at": "q_at"}).join(postings(index), ["part", "bits"])
+    hits = hits.withColumn("offset", F.col("at") - F.col("q_at")).where(high - low >= F.least("q_size", "size") * OVERLAP)
+    pairs = hits.groupBy("q_block", "block").agg(F.collect_set("offset").alias("offsets"))
+    q, c = lambda name: F.col(f"w.members.{name}"), lambda name: F.col(f"i.members.{name}")
+    pairs = pairs.join(wanted.alias("w"), F.col("q_block") == F.col("w.block")).join(index.alias("i"), pairs["block"] == F.col("i.block")).select(
+        F.col("w.size").alias("q_size"), F.col("i.size").alias("size"), "offsets", q("id").alias("ids"), q("own").alias("owns"), F.flatten(q("fp")).alias("queries"),
+        c("id").alias("classes"), c("n").alias("n"), c("first").alias("first"), c("second").alias("second"), F.flatten(c("fp")).alias("fps"),
+    )
+    per = judged(pairs).groupBy("query_id").agg(F.sum("matches").alias("matches"), F.min(F.struct("errors", "other", "offset")).alias("best"))
+    best = F.when(F.col("best.other") != NONE, F.col("best.other"))
+    return asked.select("query_id").join(per, "query_id", "left").select("query_id", F.coalesce("matches", F.lit(0)).cast("long").alias("matches"), best.alias("best_id"), F.col("best.offset").alias("best_offset"), F.round("best.errors", 6).alias("best_errors"))
 
 
 def op9_chroma(spark, sf_dir: str) -> DataFrame:

@@ -525,6 +525,38 @@ def test_chroma_recall(spark):
         assert all(found[q] == (round(brute[q][0], 6), *brute[q][1:]) for q in found) and len(found) >= least * len(brute) > 0
 
 
+def joined_rows(spark, run):
+    """run() and the rows that each join of its executions put out."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    begin = store.executionsCount()
+    result, rows = run(), []
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    executions = store.executionsList()
+    for e in (executions.apply(i).executionId() for i in range(begin, executions.size())):
+        values, nodes = store.executionMetrics(e), store.planGraph(e).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if "Join" in node.name():
+                metrics = (node.metrics().apply(i) for i in range(node.metrics().size()))
+                found = [values.get(m.accumulatorId()) for m in metrics if m.name() == "number of output rows"]
+                rows += [int(v.get().replace(",", "")) for v in found if v.isDefined()]
+    return result, rows
+
+
+def test_chroma_near_copies(spark):
+    """A large group of near copies: right against all pairs, and no join puts out a row for each pair that it holds."""
+    r = np.random.default_rng(11)
+    base = r.integers(-(1 << 31), 1 << 31, 34).astype(np.int32)
+    rows = {i: base ^ (r.random((34, 32)) < 0.01).dot(1 << np.arange(32)).astype(np.uint32).view(np.int32) for i in range(600)}
+    out, joined = joined_rows(spark, lambda: rows_of(chroma.aligned(spark.createDataFrame([(i, f.tolist()) for i, f in rows.items()], "rec_id long, fp array<int>"), 5), "query_id"))
+    whole = np.stack(list(rows.values())).view(np.uint32)
+    for q in range(0, 600, 5):
+        bits = np.bitwise_count(whole ^ whole[q]).sum(1).astype(int)
+        bits[q] = 1 << 20
+        best = int(bits.argmin())
+        assert (out[q]["matches"], out[q]["best_id"], out[q]["best_offset"], out[q]["best_errors"]) == (599, best, 0, round(bits[best] / (34 * 32), 6))
+    assert len(out) == 120 and 0 < max(joined) < 120 * 600
+
+
 def test_url_filter(spark):
     urls = ["http://www.EXAMPLE.com/en/x", "https://blog.example.com/en/a?b", "http://example.com/fr/", "ftp://a.net/es/", "no url", None, "http://other.org", "http://net/fr/x#y", "http://xnet/fr/"]
     df = spark.createDataFrame([(i, u, "<p>the other words</p>") for i, u in enumerate(urls)], "page_id long, url string, html string")
